@@ -16,13 +16,23 @@ def normalised(name: str) -> Column:
     return F.regexp_replace(text_of(name), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
+#: The filter of digests that stand more than once has 2**BITS bits: 2 MB.
+BITS = 24
+
+
+def _bit(key: str) -> tuple[Column, Column]:
+    """Where a digest's bit stands: the number of a bitmap of 32,768 bits, and the place in it."""
+    at = F.pmod(F.xxhash64(key), F.lit(1 << BITS))
+    return F.floor(at / 32768).cast("long"), at % 32768
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", content_hash=F.md5) -> DataFrame:
     """One row per document: id_col, keep_id, group_size, kept, text_sha256.
 
     Only 16-byte digests are shuffled to form groups; a hot group is one row a task after map-side
-    aggregation. A second pass then groups the texts of rows in groups of two or more by (digest, text), which
-    compares their bytes and again sends one row for each distinct text and task. Digests that
-    stand for more than one text (collisions) are split by text.
+    aggregation. A second pass groups the texts of rows in groups of two or more by (digest, text), which
+    compares their bytes and again sends one row for each distinct text and task; a bitmap of bounded size
+    keeps all other texts out of that shuffle. Digests that stand for more than one text (collisions) are split by text.
 
     Null text counts as empty. Null ids sort after all others. Of rows that repeat with one id,
     exactly one is kept. An empty table gives an empty result; other columns are ignored.
@@ -33,7 +43,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = F.min(F.struct(F.col(P + "id").isNull().alias("none"), F.col(P + "id").alias("id"), F.col(rid).alias("rid"))).alias(P + "least")
     groups = written(digests.groupBy(key).agg(F.count("*").alias(P + "n"), least).filter(F.col(P + "n") > 1), "groups")
 
-    variants = rows.join(groups.select(key), key, "left_semi").groupBy(key, norm).agg(F.count("*").alias(P + "n"))
+    bucket, bit = _bit(key)
+    marks = groups.groupBy(bucket.alias(P + "bucket")).agg(F.bitmap_construct_agg(bit).alias(P + "bits"))
+    # 2**BITS bits at most, whatever the input: a row whose bit is not set has no equal. Where keys share a bit, a text
+    # takes part for nothing.
+    marked = rows.withColumn(P + "at", bucket).join(F.broadcast(marks.withColumnRenamed(P + "bucket", P + "at")), P + "at")
+    byte = F.conv(F.hex(F.substring(F.col(P + "bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = marked.filter(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (bit % 8 + 1).cast("int"))) > 0)
+    variants = marked.groupBy(key, norm).agg(F.count("*").alias(P + "n"))
     collided = written(variants.groupBy(key).agg(F.count("*").alias(P + "v")).filter(F.col(P + "v") > 1), "collided")
 
     same = digests.join(groups, key, "left")
