@@ -17,17 +17,18 @@ WINDOW = 2048
 #: Tokens that one packing block holds at most, besides one document: bounds a task's memory.
 BLOCK_TOKENS = 8_000_000
 
+LONG_RUN = 2000
+
 _encoders: dict[str, Callable] = {}
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
     """Ids of a byte-level BPE file. Ranks are the vocabulary's, so tiktoken gives the ids that
-    tokenizers gives, several times faster; texts with a run of over 2,000 characters
-    that one pre-token may hold go to tokenizers itself, whose merge is not quadratic. The strings of special tokens are ordinary text.
+    tokenizers gives, several times faster; texts that may hold a pre-token of LONG_RUN characters
+    go to tokenizers itself, whose merge is not quadratic. The strings of special tokens are ordinary text.
     """
     if path in _encoders:
         return _encoders[path]
-    import regex
     import tiktoken
     from public_tokenizers import PATTERN
     from tokenizers import Tokenizer
@@ -42,11 +43,13 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     special = {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    long_run = regex.compile(r"\p{L}{2000}|\p{N}{2000}|\s{2000}|[^\s\p{L}\p{N}]{2000}")
 
     def encode(text: str) -> list[int]:
-        if len(text) >= 2000 and long_run.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+        if len(text) >= LONG_RUN:
+            words = text.split()
+            blanks = len(text) - sum(map(len, words))
+            if max(map(len, words), default=0) >= LONG_RUN or blanks - len(words) >= LONG_RUN - 1:
+                return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     _encoders[path] = encode
