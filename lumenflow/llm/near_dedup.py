@@ -42,11 +42,16 @@ def occurrences(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(kmers: np.ndarray) -> np.ndarray:
+    """A hash of every k-mer with the number of times it stood before: no two are alike in one text."""
+    with np.errstate(over="ignore"):
+        return _mix(kmers + occurrences(kmers).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def sketch(kmers: np.ndarray, block: int = 4096) -> np.ndarray:
     """Band hashes of a text: for every hash the two least occurrence-labelled k-mers, kept in text order."""
     with np.errstate(over="ignore"):
-        labelled = _mix(kmers + occurrences(kmers).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        low = (labelled >> np.uint64(32)).astype(np.uint32)
+        low = (labelled(kmers) >> np.uint64(32)).astype(np.uint32)
         row = np.arange(BANDS * ROWS)
         least, at = np.full((len(row), 2), 1 << 32, np.int64), np.zeros((len(row), 2), np.int64)
         for i in range(0, len(low), block):
@@ -172,18 +177,18 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per different text: key (md5 of the text), n (rows that have it), least id, class_id, class_size.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """The sketched documents, and one row per different text: key (md5), least row, winner (the class's least row), class_size.
 
     1. Each text is sketched once; rows of one text are one node.
     2. In a bucket of a band, every text is tested against a leader, the text that shares most bands with others:
        links grow with the rows of a bucket, not their square.
     3. Texts of one bucket that are still in different classes are tested against each other, so that
-       no link between different texts depends on the choice of leader.
+       no link between different texts depends on the choice of leader; prefix filtering finds which
+       of them can be similar at all.
     """
-    least_id = P + "id"
     sigs = written(_sketches(docs, id_col, text_col).withColumn(P + "rid", F.monotonically_increasing_id()), "sketches")
-    texts = sigs.groupBy(P + "key", P + "bands", P + "n").agg(F.min(P + "id").alias(least_id), F.min(P + "rid").alias("rid"), F.count("*").alias("rows"))
+    texts = sigs.groupBy(P + "key", P + "bands", P + "n").agg(F.min(F.struct(F.col(P + "id").isNull().alias("none"), F.col(P + "id").alias("id"), F.col(P + "rid").alias("rid"))).alias("least"), F.count("*").alias("rows"))
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     member = texts.filter(F.col(P + "bands").isNotNull()).select("node", F.col(P + "n").alias("n"), F.explode(P + "bands").alias("bucket"))
@@ -196,7 +201,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tried = member.join(leader, "bucket").filter((F.col("node") != F.col("b")) & fits(F.col("n"), F.col("bn")))
     tried = written(tried.select(F.col("node").alias("a"), "b").distinct(), "tried")
 
-    chosen = texts.join(member.select("node").distinct(), "node").select("node", F.col("rid").alias(P + "rid"))
+    chosen = texts.join(member.select("node").distinct(), "node").select("node", F.col("least")["rid"].alias(P + "rid"))
     words = written(sigs.select(P + "rid", F.col(P + "words").alias("words")).join(chosen, P + "rid").select("node", "words"), "words")
     links = written(_verified(tried, words, similarity), "verified")
     nodes = member.select("node").distinct()
@@ -204,43 +209,67 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     placed = member.join(labels, "node")
     split = placed.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = written(placed.join(split, "bucket").select("bucket", "node", "n", "label"), "open")
+    open_ = written(placed.join(split, "bucket").select("node", "n", "label").distinct(), "open")
     if not open_.isEmpty():
-        x, y = open_.alias("x"), open_.alias("y")
-        rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & fits(F.col("x.n"), F.col("y.n")))
-        rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        rest = _prefix_pairs(open_, words, similarity)
         seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(_verified(rest.join(seen, ["a", "b"], "left_anti"), words, similarity), "verified")
         if not more.isEmpty():
             labels = components(links.unionByName(more), nodes)
 
     out = texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    classes = out.groupBy("label").agg(F.min(least_id).alias("class_id"), F.sum("rows").alias("class_size"))
-    return written(out.join(classes, "label").select(P + "key", F.col(least_id).alias(P + "least"), "rows", "class_id", "class_size", "label"), "classes")
+    classes = out.groupBy("label").agg(F.min("least").alias("winner"), F.sum("rows").alias("class_size"))
+    return sigs, written(out.select(P + "key", "least", "label").join(classes, "label").select(P + "key", "least", "winner", "class_size"), "classes")
+
+
+def _prefix_pairs(texts: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Pairs (a < b) of texts (node, n, label) with different labels that may reach `least`, by prefix filtering.
+
+    A text's occurrence-labelled shingles stand in order of how many of these texts have them, rarest first. Two texts
+    that reach `least` have a common shingle among the first n - least * n + 1 of each, so early that what follows
+    can still make up the overlap they need. Shingles of one text alone come first and need no row: a text whose prefix
+    they fill has no partner, which keeps groups of loosely similar texts from yielding their pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for node, own in zip(b.column(0), b.column(1), strict=True):
+                kmers = shingles(np.frombuffer(own.as_py(), "<u4"))
+                found = labelled(kmers).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py())), pa.array(found)], names=["node", "shingle"])
+
+    each = written(texts.join(words, "node").select("node", "words").mapInArrow(run, "node long, shingle long"), "shingles")
+    common = each.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = each.join(common, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1
+    first = texts.join(ranked, "node").filter(alone < prefix).select("node", "n", "label", alone.alias("alone"), F.posexplode(F.slice("s", F.lit(1), (prefix - alone).cast("int"))).alias("k", "s"))
+    first = written(first.select("node", "n", "label", (F.col("alone") + F.col("k") + 1).alias("at"), F.col("s")["shingle"].alias("shingle")), "prefixes")
+    x, y = first.alias("x"), first.alias("y")
+    reach = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) + 1
+    need = (F.col("x.n") + F.col("y.n")) * F.lit(least / (1 + least)) - 1e-9
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & (reach >= need))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """docs with class_id (least id of the class), class_size and kept.
+    """A row per document: id_col, class_id (least id of the class), class_size and kept.
 
     Similarity is over five-word shingles, matched in order: lcs / union. Null text counts as empty; empty texts are one
     class; texts under five words are one shingle. Null ids never stand for a class unless it has no other. Of rows
-    that repeat one id and text, one is kept. An empty table gives an empty result.
+    that repeat one id and text, one is kept. An empty table gives an empty result; other columns are ignored.
     """
-    classes = near_classes(docs, id_col, text_col, similarity)
-    rows = docs.withColumn(P + "key", F.unhex(F.md5(text_of(text_col)))).join(classes, P + "key")
-    may = F.col(P + "least").eqNullSafe(F.col("class_id")) & F.col(id_col).eqNullSafe(F.col("class_id"))
-    # Only rows that carry the class's id compete, so no group is gathered: they repeat one id.
-    first = F.row_number().over(Window.partitionBy(P + "key", F.when(may, F.lit(-1)).otherwise(F.monotonically_increasing_id())).orderBy(F.lit(1)))
-    names = [c for c in docs.columns if c not in ("class_id", "class_size", "kept")]
-    return rows.withColumn(P + "first", first).select(*[F.col(f"`{c}`") for c in names], "class_id", "class_size", (may & (F.col(P + "first") == 1)).alias("kept"))
+    sigs, classes = near_classes(docs, id_col, text_col, similarity)
+    rows = sigs.select(P + "id", P + "key", P + "rid").join(classes.select(P + "key", "winner", "class_size"), P + "key")
+    return rows.select(F.col(P + "id").alias(id_col), F.col("winner")["id"].alias("class_id"), "class_size", (F.col("winner")["rid"] == F.col(P + "rid")).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, with the columns of docs."""
-    classes = near_classes(docs, id_col, text_col, similarity)
-    best = classes.filter(F.col(P + "least").eqNullSafe(F.col("class_id"))).select(P + "key", P + "least", "label")
-    # A class's least id may stand for several texts if ids repeat: the least key wins.
-    best = best.groupBy("label").agg(F.min(P + "key").alias(P + "key"), F.first(P + "least").alias(P + "least")).drop("label")
-    rows = docs.withColumn(P + "key", F.unhex(F.md5(text_of(text_col)))).join(best, P + "key").filter(F.col(id_col).eqNullSafe(F.col(P + "least")))
-    first = F.row_number().over(Window.partitionBy(P + "key").orderBy(F.lit(1)))
+    _, classes = near_classes(docs, id_col, text_col, similarity)
+    best = classes.filter(F.col("least") == F.col("winner")).select(P + "key", F.col("winner")["id"].alias(P + "least"), F.xxhash64(F.col("winner")["id"]).alias(P + "pick"))
+    # Joined on text and id, copies of one text are dealt over many tasks.
+    rows = docs.withColumns({P + "key": F.unhex(F.md5(text_of(text_col))), P + "pick": F.xxhash64(F.col(id_col))})
+    rows = rows.join(best, [P + "key", P + "pick"]).filter(F.col(id_col).eqNullSafe(F.col(P + "least")))
+    first = F.row_number().over(Window.partitionBy(P + "key", P + "pick").orderBy(F.lit(1)))
     return rows.withColumn(P + "first", first).filter(F.col(P + "first") == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
