@@ -1,11 +1,262 @@
-"""All queries over the engine's own operators, with their SQL."""
+"""A query for every operator that is checked here, over the given tables, with SQL that says the same another way."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..frames import from_pixels, to_pixels
+from ..operators import geometry, images
+from ..spec import find, load
+from . import flow
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Real numbers to `digits` places; no negative zero."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
+def add(name: str, query: Query, sql: str | None = None, reals: str = "", digits: int = 6) -> None:
+    _queries[name] = lambda s, d: rounded(query(s, d), digits)
+    if sql:
+        _oracles[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in reals.split())}) FROM ({sql})" if reals else sql
+
+
+# --- geometry: parameters from the part table, a different spread of whole numbers each
+
+
+def _spread(k: int) -> str:
+    return f"CAST((p_partkey * {7 + 6 * k} + {k * k * 5 + 3 * k}) % {41 + 2 * k} AS DOUBLE) - {12 + k}"
+
+
+def _geometry(type_id: str) -> None:
+    params, _, outs = geometry.FORMULAS[type_id]
+    columns = {p: f"({_spread(k)})" for k, p in enumerate(params)}
+    for p in set(params) & {"radius", "ea", "eb", "r1", "r2", "fx", "fy", "baseline", "region_size"}:
+        columns[p] = f"(abs({columns[p]}) + 1.0)"
+    source = "SELECT p_partkey, " + ", ".join(f"{e} AS {p}" for p, e in columns.items()) + " FROM part"
+
+    def query(s: SparkSession, d: str) -> DataFrame:
+        rows = table(s, d, "part").selectExpr("p_partkey", *[f"{e} AS {p}" for p, e in columns.items()])
+        return geometry.scalar(rows, type_id, params).select("p_partkey", *outs)
+
+    flags = {o for o, e in outs.items() if o in ("inside", "intersecting", "parallel", "perpendicular", "valid")}
+    add(f"geo_{type_id}", query, geometry.sql(type_id, source, "p_partkey"), " ".join(o for o in outs if o not in flags))
+
+
+# --- frames: 25 of 24 x 16, from the nations
+
+
+W, H = 24, 16
+V1 = "((x * 7 + y * 13 + n_nationkey * 31 + x * y * 3) % 256)"
+V2 = "((x * 11 + y * 5 + n_nationkey * 17 + 40) % 256)"
+
+
+def pixels(s: SparkSession, d: str, v: str) -> DataFrame:
+    grid = s.range(W * H).selectExpr(f"cast(id % {W} as int) AS x", f"cast(id div {W} as int) AS y")
+    return table(s, d, "nation").crossJoin(F.broadcast(grid)).selectExpr("cast(n_nationkey as long) AS frame_id", "y", "x", "0 AS c", f"cast({v} as int) AS v")
+
+
+def frames(s: SparkSession, d: str, v: str = V1) -> DataFrame:
+    return from_pixels(pixels(s, d, v))
+
+
+def _px(name: str, v: str) -> str:
+    return f"{name} AS (SELECT n_nationkey::BIGINT AS frame_id, y::INT AS y, x::INT AS x, {v}::INT AS v FROM nation, (SELECT unnest(range({W})) AS x) xs, (SELECT unnest(range({H})) AS y) ys)"
+
+
+def _clamped(e: str) -> str:
+    return f"floor(least(255, greatest(0, {e})))"
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    return to_pixels(df).select("frame_id", "y", "x", F.col("v").cast("long").alias("v"))
+
+
+def _image(type_id: str, body: str, name: str = "", **params) -> None:
+    """`body` is SQL over px, with frame_id, y, x, v."""
+    add(f"img_{name or type_id}", lambda s, d: _flat(images.run(frames(s, d), (type_id, params))), f"WITH {_px('px', V1)} SELECT frame_id, y, x, CAST(v AS BIGINT) AS v FROM ({body})")
+
+
+def _pair(type_id: str, e: str, **params) -> None:
+    op = find(type_id)
+    add(f"img_{type_id}", lambda s, d: _flat(op.plan(frames(s, d), frames(s, d, V2), **op.bind(params))), f"WITH {_px('pa', V1)}, {_px('pb', V2)} SELECT a.frame_id, a.y, a.x, CAST({e} AS BIGINT) AS v FROM pa a JOIN pb b ON a.frame_id = b.frame_id AND a.y = b.y AND a.x = b.x".replace("A.", "a.v").replace("B.", "b.v"))
+
+
+def _near(agg: str, k: int, source: str = "px", clamp: bool = True, where: str = "TRUE") -> str:
+    """An aggregate over the (2k+1)-square around every sample: border repeated, or samples outside left out."""
+    y, x = (f"least({H - 1}, greatest(0, p.y + dy))", f"least({W - 1}, greatest(0, p.x + dx))") if clamp else ("p.y + dy", "p.x + dx")
+    return f"SELECT p.frame_id, p.y, p.x, {agg} AS v FROM {source} p, (SELECT unnest(range({-k}, {k + 1})) AS dy) u, (SELECT unnest(range({-k}, {k + 1})) AS dx) w JOIN {source} q ON q.frame_id = p.frame_id AND q.y = {y} AND q.x = {x} WHERE {where} GROUP BY p.frame_id, p.y, p.x, p.v"
+
+
+_INSIDE = f"p.y BETWEEN 1 AND {H - 2} AND p.x BETWEEN 1 AND {W - 2}"
+_LAPLACE = "sum(CASE WHEN dy = 0 AND dx = 0 THEN -4 WHEN abs(dy) + abs(dx) = 1 THEN 1 ELSE 0 END * q.v)"
+
+
+def _images() -> None:
+    _pair("ImageAdd", _clamped("(A. + B.) * 0.5"))
+    _pair("ImageSubtract", _clamped("(A. - B.) + 128"))
+    _pair("ImageMultiply", _clamped("((A. / 255.0::DOUBLE) * (B. / 255.0::DOUBLE) * 255.0::DOUBLE) * 255.0::DOUBLE"))
+    _pair("ImageDivide", _clamped("A. / CASE WHEN B. = 0 THEN 1e-10 ELSE B.::DOUBLE END"))
+    _pair("ImageAbsDiff", _clamped("abs(A. - B.)"))
+    _pair("ImageMin", "least(A., B.)")
+    _pair("ImageMax", "greatest(A., B.)")
+    _pair("ImageAnd", "A. & B.")
+    _pair("ImageOr", "A. | B.")
+    _pair("ImageXor", "xor(A., B.)")
+    _pair("ImageBlend", _clamped("A. * 0.5 + B. * 0.5"))
+
+    each = lambda e: f"SELECT frame_id, y, x, {e} AS v FROM px"
+    _image("ImageNot", each("255 - v"))
+    _image("SimpleThreshold", each("CASE WHEN v > 128 THEN 255 ELSE 0 END"))
+    _image("Threshold", each("CASE WHEN v >= 128 THEN 255 ELSE 0 END"))
+    for kind, e in {"Binary": "CASE WHEN v > 100 THEN 255 ELSE 0 END", "BinaryInv": "CASE WHEN v > 100 THEN 0 ELSE 255 END", "Trunc": "least(v, 100)", "ToZero": "CASE WHEN v > 100 THEN v ELSE 0 END", "ToZeroInv": "CASE WHEN v > 100 THEN 0 ELSE v END"}.items():
+        _image("ThresholdSegment", each(e), f"ThresholdSegment_{kind}", threshold_type=kind, threshold_value=100)
+    _image("ContrastEnhance", each(_clamped("(v - 128) * 1.5 + 128")))
+    _image("BrightnessAdjust", each(_clamped("v + 50")))
+    _image("GammaCorrect", each(_clamped("pow(v / 255.0::DOUBLE, 1.0::DOUBLE) * 255.0::DOUBLE")))
+    _image("HistogramEqualize", f"SELECT p.frame_id, y, x, floor(c / {W * H}::DOUBLE * 255) AS v FROM px p JOIN (SELECT frame_id, v, sum(n) OVER (PARTITION BY frame_id ORDER BY v) AS c FROM (SELECT frame_id, v, count(*) AS n FROM px GROUP BY 1, 2)) h ON p.frame_id = h.frame_id AND p.v = h.v")
+    _image("Flip", f"SELECT frame_id, y, {W - 1} - x AS x, v FROM px")
+    _image("ROICrop", "SELECT frame_id, y - 2 AS y, x - 4 AS x, v FROM px WHERE x BETWEEN 4 AND 13 AND y BETWEEN 2 AND 9", x=4, y=2, width=10, height=8)
+    _image("Crop", "SELECT frame_id, y - 2 AS y, x - 4 AS x, v FROM px WHERE x BETWEEN 4 AND 13 AND y BETWEEN 2 AND 9", roi_x=4, roi_y=2, roi_width=10, roi_height=8)
+    _image("Translate", "SELECT p.frame_id, p.y, p.x, coalesce(q.v, 7) AS v FROM px p LEFT JOIN px q ON q.frame_id = p.frame_id AND q.y = p.y - 2 AND q.x = p.x - 3", offset_x=3, offset_y=2, fill_value=7)
+    _image("Resize", f"SELECT frame_id, t.y, t.x, v FROM px p JOIN (SELECT y, x FROM (SELECT unnest(range(8)) AS y) a, (SELECT unnest(range(12)) AS x) b) t ON p.y = t.y * {H // 8} AND p.x = t.x * {W // 12}", width=12, height=8, interpolation="nearest")
+    _image("SimpleImagePreprocess", _near("floor(sum(q.v) / 9.0)", 1))
+    _image("BoxFilter", _near("floor(sum(q.v) / 25.0)", 2), kernel_size=5)
+    _image("MedianFilter", _near("list_sort(list(q.v))[5]", 1))
+    zero = "SELECT frame_id, y, x, {} AS v FROM px p"
+    _image("LaplacianFilter", f"SELECT px.frame_id, px.y, px.x, coalesce(n.v, 0) AS v FROM px LEFT JOIN ({_near(_clamped(f'abs({_LAPLACE})'), 1, where=_INSIDE)}) n ON n.frame_id = px.frame_id AND n.y = px.y AND n.x = px.x")
+    _image("SharpenFilter", f"SELECT px.frame_id, px.y, px.x, coalesce(n.v, px.v) AS v FROM px LEFT JOIN ({_near(_clamped(f'p.v - {_LAPLACE}'), 1, where=_INSIDE)}) n ON n.frame_id = px.frame_id AND n.y = px.y AND n.x = px.x")
+    gx, gy = "sum(q.v * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END)", "sum(q.v * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END)"
+    _image("SobelEdge", f"SELECT px.frame_id, px.y, px.x, coalesce(n.v, 0) AS v FROM px LEFT JOIN ({_near(f'CASE WHEN floor(sqrt(({gx}) * ({gx}) + ({gy}) * ({gy}))) > 120 THEN 255 ELSE 0 END', 1, where=_INSIDE)}) n ON n.frame_id = px.frame_id AND n.y = px.y AND n.x = px.x", threshold=120)
+    _image("AdaptiveThreshold", _near("CASE WHEN p.v > floor(sum(q.v) / 49.0) - 5 THEN 255 ELSE 0 END", 3), block_size=7)
+    low, high = _near("min(q.v)", 1, clamp=False), _near("max(q.v)", 1, clamp=False)
+    of = lambda agg, inner: f"WITH inner_ AS ({inner}) " + _near(agg, 1, "inner_", clamp=False)
+    _image("Morphology", low, "Morphology_Erode")
+    _image("Morphology", high, "Morphology_Dilate", operation="Dilate")
+    _image("Morphology", of("max(q.v)", low), "Morphology_Open", operation="Open")
+    _image("Morphology", of("min(q.v)", high), "Morphology_Close", operation="Close")
+    _image("Morphology", _near("max(q.v) - min(q.v)", 1, clamp=False), "Morphology_Gradient", operation="Gradient")
+    _image("ExtractBoundary", _near("p.v - min(q.v)", 1, clamp=False))
+    binary = "(SELECT frame_id, y, x, CASE WHEN v > 128 THEN 255 ELSE 0 END AS v FROM px)"
+    _image("ThresholdMorph", f"WITH bin AS {binary} " + _near("min(q.v)", 1, "bin", clamp=False))
+    for name in ("GaussianFilter", "BilateralFilter", "GuidedFilter", "CannyEdge", "FillHoles", "Thinning", "Rotate", "GaussLowPass", "ButterworthHighPass", "BandPass", "HomomorphicFilter", "DenoiseNLM", "DenoiseWavelet", "AdaptiveHistogramEqualize", "PhaseSpectrum"):
+        add(f"img_{name}", lambda s, d, t=name: _flat(images.run(frames(s, d), (t, {}))))
+    del zero
+
+
+def _measures() -> None:
+    bright = ("SimpleThreshold", {"threshold": 128})
+    on = f"WITH {_px('px', V1)}, f AS (SELECT * FROM px WHERE v > 128), m AS (SELECT frame_id, count(*)::DOUBLE AS n, avg(x) AS cx, avg(y) AS cy FROM f GROUP BY 1)"
+    run = lambda t, **p: lambda s, d: find(t).plan(images.run(frames(s, d), bright), **find(t).bind(p))
+    add("measure_ShapeMoments", run("ShapeMoments"), f"{on} SELECT f.frame_id, n AS area, cx AS centroid_x, cy AS centroid_y, sum(x * x)::DOUBLE AS m20, sum(y * y)::DOUBLE AS m02, sum(x * y)::DOUBLE AS m11, sum((x - cx) ** 2) AS mu20, sum((y - cy) ** 2) AS mu02, sum((x - cx) * (y - cy)) AS mu11 FROM f JOIN m ON f.frame_id = m.frame_id GROUP BY f.frame_id, n, cx, cy", "area centroid_x centroid_y m20 m02 m11 mu20 mu02 mu11")
+    plain = lambda t, **p: lambda s, d: find(t).plan(frames(s, d), **find(t).bind(p))
+    add("measure_CogHistogram", plain("CogHistogram"), f"WITH {_px('px', V1)}, h AS (SELECT frame_id, v, count(*) AS n FROM px GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY frame_id ORDER BY v) AS c FROM h) SELECT frame_id, (sum(v * n) / {W * H}.0)::DOUBLE AS mean, sqrt(sum(v * v * n) / {W * H}.0 - pow(sum(v * n) / {W * H}.0, 2)) AS std_dev, min(v)::DOUBLE AS min_value, max(v)::DOUBLE AS max_value, min(CASE WHEN c >= {W * H} / 2.0 THEN v END)::DOUBLE AS median, -sum(n / {W * H}.0 * log2(n / {W * H}.0)) AS entropy FROM c GROUP BY frame_id", "mean std_dev min_value max_value median entropy")
+    add("measure_color_histogram", plain("color_histogram", bins=16.0), f"WITH {_px('px', V1)} SELECT frame_id, 0::BIGINT AS channel, (v // 16)::BIGINT AS bin, count(*) AS n FROM px GROUP BY ALL")
+    add("measure_OtsuThreshold", plain("OtsuThreshold"), f"WITH {_px('px', V1)}, h AS (SELECT frame_id, t.v AS v, sum(CASE WHEN p.v <= t.v THEN 1 ELSE 0 END) AS lo, sum(CASE WHEN p.v <= t.v THEN p.v ELSE 0 END) AS ml, sum(p.v) AS m FROM px p, (SELECT unnest(range(256)) AS v) t GROUP BY 1, 2), b AS (SELECT *, CASE WHEN lo = 0 OR lo = {W * H} THEN 0 ELSE lo::DOUBLE * ({W * H} - lo) * pow(ml / lo::DOUBLE - (m - ml) / ({W * H} - lo)::DOUBLE, 2) END AS s FROM h) SELECT frame_id, min(v)::BIGINT AS threshold FROM (SELECT *, max(round(s, 3)) OVER (PARTITION BY frame_id) AS top FROM b) WHERE round(s, 3) = top GROUP BY 1")
+    spots = f"""WITH RECURSIVE {_px('px', V1)}, f AS (SELECT frame_id, y, x FROM px WHERE v > 128),
+reach AS (SELECT frame_id, y, x, y * {W} + x AS seed FROM f UNION SELECT f.frame_id, f.y, f.x, r.seed FROM reach r JOIN f ON f.frame_id = r.frame_id AND abs(f.y - r.y) + abs(f.x - r.x) = 1),
+c AS (SELECT frame_id, y, x, min(seed) AS seed FROM reach GROUP BY 1, 2, 3),
+b AS (SELECT frame_id, seed, count(*) AS area, min(x)::BIGINT AS bx, min(y)::BIGINT AS by_, (max(x) - min(x) + 1)::BIGINT AS width, (max(y) - min(y) + 1)::BIGINT AS height, avg(x) AS center_x, avg(y) AS center_y FROM c GROUP BY 1, 2)
+SELECT * FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY seed) AS blob, area, bx AS x, by_ AS y, width, height, center_x, center_y FROM b) WHERE area >= 4"""
+    add("measure_BlobAnalysis", run("BlobAnalysis", min_area=4), spots, "center_x center_y")
+    for name in ("HuMoments", "FlusserMoments", "ShapeFeatures", "Compactness", "Convexity", "Anisometry", "CogBlobAnalysis"):
+        add(f"measure_{name}", run(name))
+    for name in ("QualityEvaluate", "AdaptiveParam", "HarrisCorner", "MoravecCorner", "MeasureProfile", "MeasureThreshold", "CaliperTool", "light_direction_estimate"):
+        add(f"measure_{name}", plain(name))
+
+    def inspection(s: SparkSession, d: str) -> DataFrame:
+        spec = {"id": "inspection", "nodes": [{"id": "a", "type_id": "SimpleThreshold", "params": {"threshold": 128}}, {"id": "b", "type_id": "BlobAnalysis", "params": {"min_area": 4}, "inputs": {"image": {"source_node": "a", "source_port": "image"}}}]}
+        return flow.run(flow.parse(spec), {"image": frames(s, d)})["b"]
+
+    add("flow_inspection", inspection, spots, "center_x center_y")
+
+
+def _tables() -> None:
+    def t(type_id: str, sql: str | None, reals: str, *sources: tuple[str, list[str]], name: str = "", digits: int = 6, pick: str = "", **params) -> None:
+        op = find(type_id)
+
+        def query(s: SparkSession, d: str) -> DataFrame:
+            out = op.plan(*[table(s, d, n).selectExpr(*e) for n, e in sources], **op.bind(params))
+            return out.selectExpr(*pick.split("|")) if pick else out
+
+        add(f"tab_{name or type_id}", query, sql, reals, digits)
+
+    parts = ("part", ["p_brand AS object_id", "cast(p_size as double) AS x", "p_retailprice / 100 AS y"])
+    cov = "SELECT p_brand AS object_id, count(*) AS n, avg(p_size) AS mx, avg(p_retailprice / 100) AS my, var_pop(p_size) AS u, covar_pop(p_size, p_retailprice / 100) AS v, var_pop(p_retailprice / 100) AS w FROM part GROUP BY 1"
+    t("LineFit", f"SELECT object_id, -sin(t) AS line_a, cos(t) AS line_b, sin(t) * mx - cos(t) * my AS line_c, sqrt(greatest((u + w) / 2 - sqrt(pow((u - w) / 2, 2) + v * v), 0)) AS rms_error, n AS point_count FROM (SELECT *, atan2(2 * v, u - w) / 2 AS t FROM ({cov}))", "line_a line_b line_c rms_error", parts, digits=4)
+    t("EllipseMeasure", f"SELECT object_id, mx AS center_x, my AS center_y, 2 * sqrt(m + h) AS major_axis, 2 * sqrt(greatest(m - h, 0)) AS minor_axis, degrees(atan2(2 * v, u - w) / 2) AS angle_deg, 4 * sqrt(m + h) * sqrt(greatest(m - h, 0)) * pi() AS area, sqrt(greatest(m - h, 0)) / sqrt(m + h) AS ellipticity FROM (SELECT *, (u + w) / 2 AS m, sqrt(pow((u - w) / 2, 2) + v * v) AS h FROM ({cov}))", "center_x center_y major_axis minor_axis angle_deg area ellipticity", parts, digits=4)
+    t("CircleFit", None, "", parts, digits=4)
+    t("PolygonMeasure", "WITH p AS (SELECT l_orderkey AS object_id, l_quantity AS x, l_extendedprice AS y, coalesce(lead(l_quantity) OVER w, first_value(l_quantity) OVER w) AS nx, coalesce(lead(l_extendedprice) OVER w, first_value(l_extendedprice) OVER w) AS ny FROM (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, min(l_extendedprice) AS l_extendedprice FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)), s AS (SELECT object_id, count(*) AS vertex_count, abs(sum(x * ny - nx * y)) / 2 AS area, sum(sqrt(pow(nx - x, 2) + pow(ny - y, 2))) AS perimeter, avg(x) AS center_x, avg(y) AS center_y, max(x) - min(x) AS bounding_width, max(y) - min(y) AS bounding_height FROM p GROUP BY 1) SELECT *, CASE WHEN perimeter > 0 THEN 4 * pi() * area / (perimeter * perimeter) ELSE 0 END AS circularity, CASE WHEN bounding_width * bounding_height > 0 THEN area / (bounding_width * bounding_height) ELSE 0 END AS rectangularity FROM s",
+      "area perimeter center_x center_y bounding_width bounding_height circularity rectangularity", ("lineitem", ["*"]))
+    polygon = find("PolygonMeasure")
+    _queries["tab_PolygonMeasure"] = lambda s, d: rounded(polygon.plan(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("object_id"), F.col("l_linenumber").alias("seq")).agg(F.min("l_quantity").alias("x"), F.min("l_extendedprice").alias("y")), **polygon.bind({})), 6)
+    stats = "SELECT l_returnflag AS object_id, count(*) AS count, avg(l_quantity) AS mean, min(l_quantity) AS min, max(l_quantity) AS max, stddev_pop(l_quantity) AS std_dev, max(l_quantity) - min(l_quantity) AS range, 60 / (6 * stddev_pop(l_quantity)) AS cp, (60 - avg(l_quantity)) / (3 * stddev_pop(l_quantity)) AS cpu, avg(l_quantity) / (3 * stddev_pop(l_quantity)) AS cpl, least(60 - avg(l_quantity), avg(l_quantity)) / (3 * stddev_pop(l_quantity)) AS cpk FROM lineitem GROUP BY 1"
+    quantity = ("lineitem", ["l_returnflag AS object_id", "l_quantity AS value"])
+    t("MeasureStatistics", stats, "mean min max std_dev range cp cpu cpl cpk", quantity, usl=60.0)
+    t("MeasureCompare", "SELECT l_returnflag AS object_id, count(*) AS n, max(abs(l_quantity - 25)) AS max_deviation, bool_and(abs(l_quantity - 25) <= 24) AS pass FROM lineitem GROUP BY 1", "max_deviation", quantity, reference=25.0, tolerance=24.0)
+    t("CogResultAnalysis", "SELECT *, total_count - pass_count AS fail_count, pass_count * 100.0::DOUBLE / total_count AS pass_rate, pass_count * 100.0::DOUBLE / total_count >= 95 AS accepted FROM (SELECT o_orderpriority AS object_id, count(*) AS total_count, count(*) FILTER (o_totalprice > 100000) AS pass_count FROM orders GROUP BY 1)", "pass_rate", ("orders", ["o_orderpriority AS object_id", "o_totalprice > 100000 AS pass"]))
+    t("PrecisionReport", "SELECT l_linestatus AS object_id, count(*) AS n, avg(l_discount) AS mean_error, max(l_discount) AS max_error, stddev_pop(l_discount) AS std_error, max(l_discount) <= 0.05 AS pass FROM lineitem GROUP BY 1", "mean_error max_error std_error", ("lineitem", ["l_linestatus AS object_id", "l_discount AS error"]), target=0.05)
+    t("PerformanceAnalyzer", "WITH s AS (SELECT event_type AS node_id, count(*) AS runs, count(*) FILTER (user_id % 10 = 0) AS errors, sum(round(value * 1000)::BIGINT)::BIGINT AS total_us, min(round(value * 1000)::BIGINT) AS min_us, max(round(value * 1000)::BIGINT) AS max_us, sum(round(value * 1000)::BIGINT)::DOUBLE / count(*) AS avg_us FROM events GROUP BY 1) SELECT *, total_us * 100.0::DOUBLE / sum(total_us) OVER () AS share, errors * 1.0::DOUBLE / runs AS error_rate, total_us * 100.0::DOUBLE / sum(total_us) OVER () >= 10 OR errors * 1.0 / runs > 0.1 AS bottleneck, (row_number() OVER (ORDER BY avg_us DESC, node_id))::INT AS rank FROM s",
+      "avg_us share error_rate", ("events", ["event_type AS node_id", "cast(round(value * 1000) as long) AS duration_us", "user_id % 10 <> 0 AS success"]))
+    t("FrameSyncCheck", "WITH e AS (SELECT user_id AS frame_id, epoch_us(ts) AS t FROM events), m AS (SELECT frame_id, count(*) AS n, max(t) - min(t) AS spread_us, (sum(t) // count(*))::BIGINT AS mean FROM e GROUP BY 1) SELECT e.frame_id, n, spread_us, CASE WHEN n < 2 THEN 0 ELSE sum(abs(t - mean))::DOUBLE / n END AS sync_offset, spread_us <= 1000000000.0 AS sync_status FROM e JOIN m ON e.frame_id = m.frame_id GROUP BY e.frame_id, n, spread_us", "sync_offset", ("events", ["user_id AS frame_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS capture_time_us"]), tolerance_us=1e9, digits=0)
+    t("TimestampAlign", "SELECT f.event_id, f.user_id AS source_id, epoch_us(f.ts) AS ts, coalesce((SELECT max(epoch_us(r.ts)) FROM events r WHERE r.user_id = f.user_id AND r.event_id % 3 = 0 AND r.ts <= f.ts), -1) AS aligned_timestamp FROM events f WHERE f.event_id % 3 <> 0", "", ("events", ["event_id", "user_id AS source_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS ts", "event_id % 3 AS side"]))
+    align = find("TimestampAlign")
+
+    def aligned(s: SparkSession, d: str) -> DataFrame:
+        e = table(s, d, "events").selectExpr("event_id", "user_id AS source_id", "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts) AS ts")
+        return align.plan(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0").drop("event_id"), **align.bind({})).select("event_id", "source_id", "ts", F.coalesce("aligned_timestamp", F.lit(-1)).alias("aligned_timestamp"))
+
+    _queries["tab_TimestampAlign"] = aligned
+    t("DatasetSplit", "SELECT doc_id AS image_id, CASE WHEN (doc_id * 7919 + 42) % 1000 < 700 THEN 'train' WHEN (doc_id * 7919 + 42) % 1000 < 900 THEN 'val' ELSE 'test' END AS split FROM documents", "", ("documents", ["doc_id AS image_id"]))
+    t("ModelEvaluate", "WITH c AS (SELECT k, count(*) FILTER (quality = k) AS gt, count(*) FILTER (toxic = k) AS pr, count(*) FILTER (quality = k AND toxic = k) AS tp FROM labels, (SELECT unnest([0, 1]) AS k) GROUP BY k), m AS (SELECT *, CASE WHEN pr > 0 THEN tp / pr::DOUBLE ELSE 0 END AS p, CASE WHEN gt > 0 THEN tp / gt::DOUBLE ELSE 0 END AS r FROM c) SELECT sum(tp) / sum(gt)::DOUBLE AS accuracy, sum(p) / 2 AS macro_precision, sum(r) / 2 AS macro_recall, sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / 2 AS macro_f1, sum(gt)::BIGINT AS total FROM m", "accuracy macro_precision macro_recall macro_f1", ("labels", ["quality AS gt", "toxic AS pred"]))
+    toxic, good = ("labels", ["doc_id AS image_id", "toxic"]), ("labels", ["doc_id + 1 AS image_id", "toxic"])
+    both = "(SELECT doc_id AS image_id, toxic FROM labels) a", "(SELECT doc_id + 1 AS image_id, toxic FROM labels) b"
+    t("LabelMerge", f"SELECT * FROM {both[0]} UNION SELECT * FROM {both[1]}", "", toxic, good, name="LabelMerge_union")
+    t("LabelMerge", f"SELECT * FROM {both[0]} WHERE image_id IN (SELECT image_id FROM {both[1]})", "", toxic, good, name="LabelMerge_intersection", merge_mode="intersection")
+    t("LabelMerge", f"SELECT * FROM {both[0]} WHERE image_id NOT IN (SELECT image_id FROM {both[1]})", "", toxic, good, name="LabelMerge_difference", merge_mode="difference")
+    t("DataFormat", "SELECT n_name AS data, '<' || replace('[{}]', '{}', n_name) || '>' AS output FROM nation", "", ("nation", ["n_name AS data"]), format="[{}]", prefix="<", suffix=">")
+    t("ResultOutput", "SELECT n_name AS data, 'Result: ' || n_name AS output FROM nation", "", ("nation", ["n_name AS data"]))
+    t("OCRVerify", "SELECT *, CASE WHEN greatest(length(text), length(expected)) > 0 THEN 1 - distance / greatest(length(text), length(expected))::DOUBLE ELSE 1 END AS similarity, CASE WHEN greatest(length(text), length(expected)) > 0 THEN 1 - distance / greatest(length(text), length(expected))::DOUBLE ELSE 1 END >= 0.5 AS match FROM (SELECT p_name AS text, p_brand AS expected, levenshtein(p_name, p_brand)::INT AS distance FROM part)", "similarity", ("part", ["p_name AS text", "p_brand AS expected"]), min_similarity=0.5)
+    t("CalibrationHistory", "SELECT user_id AS camera_id, count(*) AS history_count, max(CASE WHEN r = 1 THEN value END) AS last_offset_x, max(CASE WHEN r = 1 THEN value * 2 END) AS last_offset_y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY 1", "last_offset_x last_offset_y", ("events", ["user_id AS camera_id", "event_id AS ts", "value AS offset_x", "value * 2 AS offset_y"]), max_history=5)
+
+    cloud = ("embeddings", ["cast(label as long) AS cloud_id", "vec_id AS point_id", "cast(embedding[0] as double) AS x", "cast(embedding[1] as double) AS y", "cast(embedding[2] as double) AS z"])
+    pts = "(SELECT label::BIGINT AS cloud_id, vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+    t("pointcloud_boundingbox", f"SELECT *, " + ", ".join(f"(min_{a} + max_{a}) / 2 AS center_{a}, max_{a} - min_{a} AS size_{a}" for a in "xyz") + " FROM (SELECT cloud_id, " + ", ".join(f"min({a}) AS min_{a}, max({a}) AS max_{a}" for a in "xyz") + f" FROM {pts} GROUP BY 1)", " ".join(f"{n}_{a}" for n in ("min", "max", "center", "size") for a in "xyz"), cloud)
+    t("PointCloudFitMeasure", "SELECT *, sqrt(spread_x ** 2 + spread_y ** 2 + spread_z ** 2) AS total_spread FROM (SELECT cloud_id, count(*) AS point_count, " + ", ".join(f"avg({a}) AS center_{a}, stddev_pop({a}) AS spread_{a}" for a in "xyz") + f" FROM {pts} GROUP BY 1)", " ".join(f"{n}_{a}" for n in ("center", "spread") for a in "xyz") + " total_spread", cloud)
+    t("pointcloud_transform", f"SELECT cloud_id, point_id, 1 - y AS x, 2 + x AS y, 3 + z AS z FROM {pts}", "x y z", cloud, tx=1.0, ty=2.0, tz=3.0, rz=90.0)
+    t("PointCloudDownsample", f"SELECT cloud_id, floor(x / 0.5)::BIGINT AS cx, floor(y / 0.5)::BIGINT AS cy, floor(z / 0.5)::BIGINT AS cz, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM {pts} GROUP BY 1, 2, 3, 4", "x y z", cloud, voxel_size=0.5)
+    t("pointcloud_sample", f"SELECT * FROM {pts} WHERE (point_id * 7919 + cloud_id * 104729) % 10007 < 5003", "x y z", cloud)
+    dist = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
+    t("pointcloud_smooth", f"SELECT a.cloud_id, a.point_id, avg(b.x) AS x, avg(b.y) AS y, avg(b.z) AS z FROM {pts} a JOIN {pts} b ON a.cloud_id = b.cloud_id AND {dist} <= 0.4 GROUP BY 1, 2", "x y z", cloud, search_radius=0.4)
+    t("PointCloudFilter", f"SELECT * FROM {pts} WHERE point_id IN (SELECT a.point_id FROM {pts} a JOIN {pts} b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id AND {dist} <= 0.6 GROUP BY 1 HAVING count(*) >= 3)", "x y z", cloud, radius=0.6, min_neighbors=3)
+
+
+def build() -> None:
+    if not _queries:
+        load()
+        for type_id in geometry.FORMULAS:
+            _geometry(type_id)
+        _images()
+        _measures()
+        _tables()
+
+
+def queries() -> dict[str, Query]:
+    build()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    build()
+    return dict(_oracles)
