@@ -163,10 +163,14 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     counted = picked.mapInArrow(count, "lang string, u long, which int, key array<int>, part array<float>, n long")
     ranked = counted.withColumn("r", F.dense_rank().over(Window.partitionBy("lang").orderBy("u"))).filter(F.col("r") <= each).drop("r")
-    rows = sorted(ranked.toArrow().to_pylist(), key=lambda r: (r["u"], r["lang"], r["which"], r["key"]))
-    held = np.array([r["u"] % 5 == 0 for r in rows])
-    bags = [(np.array(r["key"], np.int64), np.array(r["part"], np.float64), r["n"]) for r in rows]
-    return fit(bags, [r["lang"] for r in rows], held, **how)
+    got = ranked.toArrow().combine_chunks()
+    order = sorted(range(got.num_rows), key=lambda i: (got["u"][i].as_py(), got["lang"][i].as_py(), got["which"][i].as_py()))
+    values = lambda name, kind: [x.values.to_numpy().astype(kind) for x in got[name]]
+    keys, parts, langs, sizes = values("key", np.int32), values("part", np.float32), got["lang"].to_pylist(), got["n"].to_pylist()
+    draws = got["u"].to_pylist()
+    held = np.array([draws[i] % 5 == 0 for i in order])
+    bags = [(keys[i], parts[i], sizes[i]) for i in order]
+    return fit(bags, [langs[i] for i in order], held, **how)
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
