@@ -19,6 +19,7 @@ PAD = OWN + CLASSES
 DIMS = 32
 REACH = 2
 BATCH = 8192
+STEP = 512  # words of a training step
 _SHAPES = ((2 * REACH, PAD + 1, DIMS), (DIMS,), (DIMS, CLASSES), (CLASSES,))
 
 
@@ -33,25 +34,30 @@ class Vocabulary:
     klass: np.ndarray
     inside: np.ndarray
     input: np.ndarray
+    #: Log share of each class: where the network's output bias starts.
+    prior: np.ndarray
 
 
 def vocabulary(counts: np.ndarray) -> Vocabulary:
-    """Buckets in falling order of their counts form classes of like sums of square roots of counts."""
+    """Buckets in falling order of their counts form classes of like shares of all words: the commonest words stand alone or nearly so."""
     order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(np.sqrt(counts[order] + 0.5))
+    mass = np.cumsum(counts[order] + 1e-9)
     klass = np.empty(len(counts), np.int16)
-    klass[order] = np.minimum((mass / mass[-1] * CLASSES).astype(np.int16), CLASSES - 1)
+    klass[order] = np.minimum(((mass - counts[order] / 2) / mass[-1] * CLASSES).astype(np.int16), CLASSES - 1)
     smooth = counts + 0.5
     total = np.bincount(klass, smooth, CLASSES)
     inside = np.log(smooth / total[klass]).astype(np.float32)
     rank = np.empty(len(counts), np.int64)
     rank[order] = np.arange(len(counts))
-    return Vocabulary(klass, inside, np.where(rank < OWN, rank, OWN + klass.astype(np.int64)).astype(np.int16))
+    return Vocabulary(klass, inside, np.where(rank < OWN, rank, OWN + klass.astype(np.int64)).astype(np.int16), np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32))
 
 
-def initial(seed: int = 11) -> list[np.ndarray]:
+def initial(voc: Vocabulary, seed: int = 11) -> list[np.ndarray]:
+    """Before any training: small weights, and the classes' own shares whatever stands around."""
     rng = np.random.default_rng(seed)
-    return [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
+    net = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
+    net[3] = voc.prior.copy()
+    return net
 
 
 def _hidden(net: list[np.ndarray], around: list[np.ndarray]) -> np.ndarray:
@@ -132,7 +138,7 @@ def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int
     the number of words learnt from. All documents take part; what the tasks send grows with their number. Averages are
     taken over whole numbers, so that the order in which tasks end makes no difference.
     """
-    net = initial()
+    net = initial(voc)
     for _ in range(rounds):
 
         def descend(batches: Iterator[pa.RecordBatch], start=net) -> Iterator[pa.RecordBatch]:
@@ -142,10 +148,10 @@ def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int
                     if not len(found):
                         continue
                     around, want = _windows(buckets(found), counts, voc)
-                    for a in range(0, len(want), BATCH):
+                    for a in range(0, len(want), STEP):
                         step = rate / (1 + seen / 2_000_000)
-                        learn(own, [x[a : a + BATCH] for x in around], want[a : a + BATCH], step * min(1.0, len(want[a : a + BATCH]) / 512))
-                        seen += len(want[a : a + BATCH])
+                        learn(own, [x[a : a + STEP] for x in around], want[a : a + STEP], step * min(1.0, len(want[a : a + STEP]) / 512))
+                        seen += len(want[a : a + STEP])
             if seen:
                 weight = 1 + (seen >> 10)
                 flat = np.round(np.concatenate([x.ravel() for x in own]).astype(np.float64) * (1 << 20)).astype(np.int64) * weight
