@@ -126,3 +126,25 @@ def gradient_frames(spark: SparkSession, count: int, width: int, height: int) ->
                 yield pa.RecordBatch.from_pylist([b.slice(i, 1).to_pylist()[0] | {"data": data}], schema=b.schema)
 
     return ids.mapInArrow(ramp, SCHEMA)
+
+
+def measure_pairs(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.ndarray], dict | list[dict]], fields: str, every: bool = False) -> DataFrame:
+    """A row for each item that `step` gives for frames of equal id; with `every`, for all frames of `a` against each of
+    the few of `b` (templates), whose size the optimizer checks before it broadcasts them.
+    """
+    other = b.select(F.col("frame_id").alias("other_id"), F.struct("width", "height", "channels", "format", "data").alias("other"))
+    joined = a.crossJoin(other) if every else a.join(other, F.col("frame_id") == F.col("other_id"))
+    names, kinds = zip(*[f.split() for f in fields.split(", ")], strict=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                if row["data"] is None or row["other"]["data"] is None:
+                    continue
+                got = step(image_of(row), image_of(row["other"]))
+                got = got if isinstance(got, list) else [got]
+                if got:
+                    head = {"frame_id": pa.array([row["frame_id"]] * len(got), pa.int64()), "other_id": pa.array([row["other_id"]] * len(got), pa.int64())}
+                    yield pa.RecordBatch.from_pydict(head | {n: _typed([g[n] for g in got], k) for n, k in zip(names, kinds, strict=True)})
+
+    return joined.mapInArrow(run, f"frame_id long, other_id long, {fields}")

@@ -41,7 +41,7 @@ def _cell(size: float) -> list:
     return [F.floor(F.col(a) / size).alias("c" + a) for a in AXES]
 
 
-@table_op("PointCloudDownsample", "pointcloud", "cloud_id x y z n", voxel_size=0.01)
+@table_op("PointCloudDownsample", "pointcloud", "cloud_id x y z n", "pcl_pointcloud_downsample", voxel_size=0.01)
 def voxel_downsample(pointcloud, voxel_size):
     """The mean point of each voxel: partial sums on the map side, one row a voxel afterwards."""
     return pointcloud.groupBy("cloud_id", *_cell(voxel_size)).agg(*[F.avg(a).alias(a) for a in AXES], F.count("*").alias("n"))
@@ -84,7 +84,7 @@ def smooth(pointcloud, search_radius):
     return near.groupBy("cloud_id", "point_id").agg(*[F.avg("o" + a).alias(a) for a in AXES])
 
 
-@table_op("PointCloudFilter", "pointcloud", "cloud_id point_id x y z", method=1, mean_k=50, std_threshold=1.0, radius=0.05, min_neighbors=5, voxel_size=0.01)
+@table_op("PointCloudFilter", "pointcloud", "cloud_id point_id x y z", "pcl_pointcloud_filter", method=1, mean_k=50, std_threshold=1.0, radius=0.05, min_neighbors=5, voxel_size=0.01)
 def radius_filter(pointcloud, method, mean_k, std_threshold, radius, min_neighbors, voxel_size):
     """Method 0: mean distance to neighbours within the radius, against the cloud's mean and deviation; 1: enough neighbours; 2: voxels."""
     if method == 2:
@@ -100,9 +100,23 @@ def radius_filter(pointcloud, method, mean_k, std_threshold, radius, min_neighbo
     return pointcloud.join(keep.select("cloud_id", "point_id"), ["cloud_id", "point_id"], "left_semi")
 
 
-@table_op("depth_to_pointcloud", "depth", "cloud_id point_id x y z", "PointCloudFromDepth", "pointcloud_stereo", depth_scale=1.0, focal_length_x=525.0, focal_length_y=525.0, center_x=0.0, center_y=0.0)
+@table_op("depth_to_pointcloud", "depth", "cloud_id point_id x y z", "PointCloudFromDepth", "pcl_pointcloud_from_depth", "pointcloud_stereo", depth_scale=1.0, focal_length_x=525.0, focal_length_y=525.0, center_x=0.0, center_y=0.0)
 def from_depth(depth, depth_scale, focal_length_x, focal_length_y, center_x, center_y):
     """Pixels (frame_id, y, x, v) with a depth over 0, through a pinhole."""
     z = F.col("v") * depth_scale
     rows = depth.filter(z > 0).select(F.col("frame_id").alias("cloud_id"), (F.col("y").cast("long") * 1_000_000 + F.col("x")).alias("point_id"), ((F.col("x") - center_x) * z / focal_length_x).alias("px"), ((F.col("y") - center_y) * z / focal_length_y).alias("py"), z.cast("double").alias("z"))
     return rows.select("cloud_id", "point_id", F.col("px").alias("x"), F.col("py").alias("y"), "z")
+
+
+@table_op("pointcloud_outlier", "pointcloud", "cloud_id point_id x y z", neighbors=20, std_threshold=1.0, radius=0.5)
+def outliers(pointcloud, neighbors, std_threshold, radius):
+    """Points whose mean distance to their nearest neighbours is within the cloud's mean plus deviations; a point with
+    none in the radius is one.
+    """
+    return radius_filter(pointcloud, 0, neighbors, std_threshold, radius, 0, 1.0)
+
+
+@table_op("scan_merge", "scan_lines", "x y z", line_distance=0.01)
+def scan_merge(scan_lines, line_distance):
+    """Each scan stands `line_distance` further along y."""
+    return scan_lines.withColumn("y", F.col("y") + F.col("scan_index") * line_distance)

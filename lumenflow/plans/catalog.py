@@ -242,6 +242,30 @@ def _tables() -> None:
     t("PointCloudFilter", f"SELECT * FROM {pts} WHERE point_id IN (SELECT a.point_id FROM {pts} a JOIN {pts} b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id AND {dist} <= 0.6 GROUP BY 1 HAVING count(*) >= 3)", "x y z", cloud, radius=0.6, min_neighbors=3)
 
 
+def _inspections() -> None:
+    """Template places by the sums of SQL; differences between two frames, piece by piece."""
+    patch = lambda s, d: images.run(frames(s, d).filter("frame_id = 3"), ("TemplateTrain", {"roi_x": 5, "roi_y": 4, "roi_width": 6, "roi_height": 5}))
+    match = find("GrayMatch")
+    body = f"""WITH {_px('px', V1)}, t AS (SELECT y - 4 AS ty, x - 5 AS tx, v AS tv FROM px WHERE frame_id = 3 AND x BETWEEN 5 AND 10 AND y BETWEEN 4 AND 8),
+s AS (SELECT px.frame_id, px.x - tx AS x, px.y - ty AS y, corr(v, tv) AS score, count(*) AS n FROM px JOIN t ON px.x - tx BETWEEN 0 AND {W - 6} AND px.y - ty BETWEEN 0 AND {H - 5} GROUP BY 1, 2, 3)
+SELECT frame_id, 3::BIGINT AS other_id, x::BIGINT AS x, y::BIGINT AS y, score FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY round(score, 9) DESC, y, x) AS r FROM s) WHERE r = 1 AND score >= 0.1"""
+    add("match_GrayMatch", lambda s, d: match.plan(frames(s, d), patch(s, d), **match.bind({"min_score": 0.1, "num_matches": 1})), body, "score")
+    surface = find("SurfaceDefect")
+    pieces = f"""WITH RECURSIVE {_px('pa', V1)}, {_px('pb', V2)}, f AS (SELECT a.frame_id, a.y, a.x FROM pa a JOIN pb b ON a.frame_id = b.frame_id AND a.y = b.y AND a.x = b.x WHERE abs(a.v - b.v) > 150),
+reach AS (SELECT frame_id, y, x, y * {W} + x AS seed FROM f UNION SELECT f.frame_id, f.y, f.x, r.seed FROM reach r JOIN f ON f.frame_id = r.frame_id AND abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1),
+c AS (SELECT frame_id, y, x, min(seed) AS seed FROM reach GROUP BY 1, 2, 3), b AS (SELECT frame_id, seed, count(*) AS area, min(x)::BIGINT AS bx, min(y)::BIGINT AS by_, (max(x) - min(x) + 1)::BIGINT AS width, (max(y) - min(y) + 1)::BIGINT AS height, avg(x) AS center_x, avg(y) AS center_y FROM c GROUP BY 1, 2)
+SELECT * FROM (SELECT frame_id, frame_id AS other_id, row_number() OVER (PARTITION BY frame_id ORDER BY seed) AS blob, area, bx AS x, by_ AS y, width, height, center_x, center_y FROM b) WHERE area >= 3"""
+    add("inspect_SurfaceDefect", lambda s, d: surface.plan(frames(s, d), frames(s, d, V2), **surface.bind({"threshold": 150, "min_area": 3})), pieces, "center_x center_y")
+    for name in ("StainDetect", "CrackDetect", "PitDetect", "GlossDefect", "TextureDefect", "MicroDefectDetect", "DimensionDefect", "PositionDefect", "AngleDefect", "SurfaceRoughness", "CaliperFindEdge", "CaliperFindEdgePair", "CogFindLine", "CogFindCircle"):
+        op = find(name)
+        add(f"inspect_{name}", lambda s, d, op=op: op.plan(frames(s, d), **op.bind({})))
+    for name in ("PhaseCorrelation", "ForeignObject", "PatInspect", "CogInspect"):
+        op = find(name)
+        add(f"inspect_{name}", lambda s, d, op=op: op.plan(frames(s, d), frames(s, d, V2), **op.bind({})))
+    arc = find("GenArcContour")
+    add("contour_GenArcContour", lambda s, d: arc.plan(table(s, d, "region").selectExpr("r_regionkey", "r_regionkey * 10.0D AS center_x", "5.0D AS center_y", "r_regionkey + 1.0D AS radius"), **arc.bind({})).select("r_regionkey", "seq", "x", "y"), "SELECT r_regionkey, k::INT AS seq, r_regionkey * 10 + (r_regionkey + 1) * cos(radians(k / 50.0 * 90)) AS x, 5 + (r_regionkey + 1) * sin(radians(k / 50.0 * 90)) AS y FROM region, (SELECT unnest(range(51)) AS k)", "x y")
+
+
 def build() -> None:
     if not _queries:
         load()
@@ -249,6 +273,7 @@ def build() -> None:
             _geometry(type_id)
         _images()
         _measures()
+        _inspections()
         _tables()
 
 
