@@ -40,7 +40,7 @@ def performance(runs, key, duration, success, bottleneck_share):
     return s.select("*", ((F.col("share") >= bottleneck_share) | (F.col("error_rate") > 0.1)).alias("bottleneck"), F.row_number().over(Window.orderBy(F.desc("avg_us"), key)).alias("rank"))
 
 
-@table_op("DatasetSplit", "dataset", "split", key="image_id", train_ratio=0.7, val_ratio=0.2, random_seed=42)
+@table_op("DatasetSplit", "dataset", "split", key="image_id", train_ratio=0.7, val_ratio=0.15, random_seed=42)
 def dataset_split(dataset, key, train_ratio, val_ratio, random_seed):
     """By a hash of the key: the same row always falls into the same part, and no order is needed."""
     u = F.pmod(F.col(key) * 7919 + int(random_seed), F.lit(1000))

@@ -218,7 +218,7 @@ def _tables() -> None:
         return align.plan(e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0").drop("event_id"), **align.bind({})).select("event_id", "source_id", "ts", F.coalesce("aligned_timestamp", F.lit(-1)).alias("aligned_timestamp"))
 
     _queries["tab_TimestampAlign"] = aligned
-    t("DatasetSplit", "SELECT doc_id AS image_id, CASE WHEN (doc_id * 7919 + 42) % 1000 < 700 THEN 'train' WHEN (doc_id * 7919 + 42) % 1000 < 900 THEN 'val' ELSE 'test' END AS split FROM documents", "", ("documents", ["doc_id AS image_id"]))
+    t("DatasetSplit", "SELECT doc_id AS image_id, CASE WHEN (doc_id * 7919 + 42) % 1000 < 700 THEN 'train' WHEN (doc_id * 7919 + 42) % 1000 < 850 THEN 'val' ELSE 'test' END AS split FROM documents", "", ("documents", ["doc_id AS image_id"]))
     t("ModelEvaluate", "WITH c AS (SELECT k, count(*) FILTER (quality = k) AS gt, count(*) FILTER (toxic = k) AS pr, count(*) FILTER (quality = k AND toxic = k) AS tp FROM labels, (SELECT unnest([0, 1]) AS k) GROUP BY k), m AS (SELECT *, CASE WHEN pr > 0 THEN tp / pr::DOUBLE ELSE 0 END AS p, CASE WHEN gt > 0 THEN tp / gt::DOUBLE ELSE 0 END AS r FROM c) SELECT sum(tp) / sum(gt)::DOUBLE AS accuracy, sum(p) / 2 AS macro_precision, sum(r) / 2 AS macro_recall, sum(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / 2 AS macro_f1, sum(gt)::BIGINT AS total FROM m", "accuracy macro_precision macro_recall macro_f1", ("labels", ["quality AS gt", "toxic AS pred"]))
     toxic, good = ("labels", ["doc_id AS image_id", "toxic"]), ("labels", ["doc_id + 1 AS image_id", "toxic"])
     both = "(SELECT doc_id AS image_id, toxic FROM labels) a", "(SELECT doc_id + 1 AS image_id, toxic FROM labels) b"
@@ -230,6 +230,17 @@ def _tables() -> None:
     t("OCRVerify", "SELECT *, CASE WHEN greatest(length(text), length(expected)) > 0 THEN 1 - distance / greatest(length(text), length(expected))::DOUBLE ELSE 1 END AS similarity, CASE WHEN greatest(length(text), length(expected)) > 0 THEN 1 - distance / greatest(length(text), length(expected))::DOUBLE ELSE 1 END >= 0.5 AS match FROM (SELECT p_name AS text, p_brand AS expected, levenshtein(p_name, p_brand)::INT AS distance FROM part)", "similarity", ("part", ["p_name AS text", "p_brand AS expected"]), min_similarity=0.5)
     t("CalibrationHistory", "SELECT user_id AS camera_id, count(*) AS history_count, max(CASE WHEN r = 1 THEN value END) AS last_offset_x, max(CASE WHEN r = 1 THEN value * 2 END) AS last_offset_y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r <= 5 GROUP BY 1", "last_offset_x last_offset_y", ("events", ["user_id AS camera_id", "event_id AS ts", "value AS offset_x", "value * 2 AS offset_y"]), max_history=5)
 
+    box = ["doc_id AS image_id", "doc_id AS object_id", "if(toxic = 1, 'bad', 'ok') AS label", "quality AS class_id", "doc_id % 90 AS x", "doc_id % 70 AS y", "doc_id % 20 AS width", "doc_id % 15 AS height", "100 AS image_width", "80 AS image_height"]
+    boxes = "(SELECT doc_id AS image_id, doc_id AS object_id, CASE WHEN toxic = 1 THEN 'bad' ELSE 'ok' END AS label, quality AS class_id, doc_id % 90 AS x, doc_id % 70 AS y, doc_id % 20 AS width, doc_id % 15 AS height, 100 AS image_width, 80 AS image_height FROM labels)"
+    t("LabelVerify", f"SELECT *, NOT (out_of_bounds OR empty OR duplicate) AS valid FROM (SELECT *, x + width > image_width OR y + height > image_height AS out_of_bounds, width <= 0 OR height <= 0 AS empty, row_number() OVER (PARTITION BY image_id, label, x, y, width, height ORDER BY object_id) > 1 AS duplicate FROM {boxes})", "", ("labels", box))
+    t("DatasetManager", "SELECT doc_id AS image_id, CASE WHEN (doc_id * 7919 + 42) % 1000 < 700 THEN 'train' WHEN (doc_id * 7919 + 42) % 1000 < 850 THEN 'val' ELSE 'test' END AS split, ((doc_id * 104729 + 42) % 5)::INT AS fold FROM documents", "", ("documents", ["doc_id AS image_id"]))
+    t("DataValidation", "WITH s AS (SELECT l_returnflag AS group_id, count(*) AS rows, avg(l_quantity) AS m, stddev_pop(l_quantity) AS d, count(*) - count(DISTINCT l_quantity) AS duplicates FROM lineitem GROUP BY 1), o AS (SELECT l_returnflag AS group_id, count(*) FILTER (abs(l_quantity - m) > 3 * d) AS outliers FROM lineitem JOIN s ON s.group_id = l_returnflag GROUP BY 1) SELECT s.group_id, rows, 0::BIGINT AS missing, duplicates, outliers, 1 - outliers / rows::DOUBLE AS quality_score, 1 - outliers / rows::DOUBLE >= 0.7 AS accepted FROM s JOIN o ON s.group_id = o.group_id", "quality_score", ("lineitem", ["l_returnflag AS group_id", "l_quantity AS value"]))
+    t("TrainProgress", "SELECT user_id AS run_id, event_id AS step, value AS loss, avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS running_loss, min(value) OVER (PARTITION BY user_id ORDER BY event_id) AS best_loss FROM events", "loss running_loss best_loss", ("events", ["user_id AS run_id", "event_id AS step", "value AS loss"]))
+    t("NinePointCalibration", "WITH s AS (SELECT p_brand AS camera_id, count(*) AS n, avg(p_size) AS mx, avg(p_retailprice / 100) AS my, var_pop(p_size) AS xx, covar_pop(p_size, p_retailprice / 100) AS xy, var_pop(p_retailprice / 100) AS yy, avg(p_partkey % 97) AS mu, avg(p_partkey % 89) AS mv, covar_pop(p_size, p_partkey % 97) AS xu, covar_pop(p_retailprice / 100, p_partkey % 97) AS yu, covar_pop(p_size, p_partkey % 89) AS xv, covar_pop(p_retailprice / 100, p_partkey % 89) AS yv, var_pop(p_partkey % 97) AS uu, var_pop(p_partkey % 89) AS vv FROM part GROUP BY 1), k AS (SELECT *, (xu * yy - yu * xy) / (xx * yy - xy * xy) AS a, (yu * xx - xu * xy) / (xx * yy - xy * xy) AS b, (xv * yy - yv * xy) / (xx * yy - xy * xy) AS d, (yv * xx - xv * xy) / (xx * yy - xy * xy) AS e FROM s) SELECT camera_id, a, b, mu - a * mx - b * my AS c, d, e, mv - d * mx - e * my AS f, sqrt(uu - a * xu - b * yu + vv - d * xv - e * yv) AS error, n, sqrt(uu - a * xu - b * yu + vv - d * xv - e * yv) <= 1 AS valid FROM k", "a b c d e f error", ("part", ["p_brand AS camera_id", "cast(p_size as double) AS x", "p_retailprice / 100 AS y", "cast(p_partkey % 97 as double) AS world_x", "cast(p_partkey % 89 as double) AS world_y"]), digits=4)
+    line = ("lineitem", ["l_orderkey AS contour_id", "cast(l_linenumber as long) * 1000000 + l_partkey AS seq", "l_quantity AS x", "cast(l_suppkey % 50 as double) AS y"])
+    t("ContourSignature", "WITH m AS (SELECT l_orderkey AS contour_id, avg(l_quantity) AS mx, avg(l_suppkey % 50) AS my FROM lineitem GROUP BY 1) SELECT contour_id, count(*) AS sample_count, max(d) AS max_distance, min(d) AS min_distance, avg(d) AS mean_distance FROM (SELECT contour_id, sqrt(pow(l_quantity - mx, 2) + pow(l_suppkey % 50 - my, 2)) AS d FROM lineitem JOIN m ON contour_id = l_orderkey) GROUP BY 1", "max_distance min_distance mean_distance", line)
+    for name in ("SmoothContours", "SegmentContours", "CurvatureDescriptor", "SelectContours"):
+        t(name, None, "", line)
     cloud = ("embeddings", ["cast(label as long) AS cloud_id", "vec_id AS point_id", "cast(embedding[0] as double) AS x", "cast(embedding[1] as double) AS y", "cast(embedding[2] as double) AS z"])
     pts = "(SELECT label::BIGINT AS cloud_id, vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
     t("pointcloud_boundingbox", f"SELECT *, " + ", ".join(f"(min_{a} + max_{a}) / 2 AS center_{a}, max_{a} - min_{a} AS size_{a}" for a in "xyz") + " FROM (SELECT cloud_id, " + ", ".join(f"min({a}) AS min_{a}, max({a}) AS max_{a}" for a in "xyz") + f" FROM {pts} GROUP BY 1)", " ".join(f"{n}_{a}" for n in ("min", "max", "center", "size") for a in "xyz"), cloud)
@@ -237,6 +248,9 @@ def _tables() -> None:
     t("pointcloud_transform", f"SELECT cloud_id, point_id, 1 - y AS x, 2 + x AS y, 3 + z AS z FROM {pts}", "x y z", cloud, tx=1.0, ty=2.0, tz=3.0, rz=90.0)
     t("PointCloudDownsample", f"SELECT cloud_id, floor(x / 0.5)::BIGINT AS cx, floor(y / 0.5)::BIGINT AS cy, floor(z / 0.5)::BIGINT AS cz, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM {pts} GROUP BY 1, 2, 3, 4", "x y z", cloud, voxel_size=0.5)
     t("pointcloud_sample", f"SELECT * FROM {pts} WHERE (point_id * 7919 + cloud_id * 104729) % 10007 < 5003", "x y z", cloud)
+    t("plane_detection", None, "", cloud, distance_threshold=0.2)
+    t("pointcloud_normals", None, "", cloud, search_radius=0.6)
+    t("icp_register", None, "", cloud, cloud)
     dist = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
     t("pointcloud_smooth", f"SELECT a.cloud_id, a.point_id, avg(b.x) AS x, avg(b.y) AS y, avg(b.z) AS z FROM {pts} a JOIN {pts} b ON a.cloud_id = b.cloud_id AND {dist} <= 0.4 GROUP BY 1, 2", "x y z", cloud, search_radius=0.4)
     t("PointCloudFilter", f"SELECT * FROM {pts} WHERE point_id IN (SELECT a.point_id FROM {pts} a JOIN {pts} b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id AND {dist} <= 0.6 GROUP BY 1 HAVING count(*) >= 3)", "x y z", cloud, radius=0.6, min_neighbors=3)

@@ -61,4 +61,4 @@ def find(type_id: str) -> Operator:
 
 
 def load() -> None:
-    from .operators import clouds, geometry, images, inspect, measures, relational  # noqa: F401
+    from .operators import clouds, geometry, images, inspect, measures, relational, scene  # noqa: F401
