@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .clouds import AXES, neighbours
 from .geometry import _op
-from .images import _plane, blend, clamp, contrast, flip, gradient, gray, image_op, pair_op, resize, rotate, sample  # noqa: F401
-from .measures import measure_op, table_op
+from .images import _plane, clamp, flip, gradient, gray, image_op, pair_op, resize, rotate
+from .measures import table_op
 
 # --- positioning
 

@@ -134,7 +134,6 @@ def _images() -> None:
     _image("SimpleImagePreprocess", _near("floor(sum(q.v) / 9.0)", 1))
     _image("BoxFilter", _near("floor(sum(q.v) / 25.0)", 2), kernel_size=5)
     _image("MedianFilter", _near("list_sort(list(q.v))[5]", 1))
-    zero = "SELECT frame_id, y, x, {} AS v FROM px p"
     _image("LaplacianFilter", f"SELECT px.frame_id, px.y, px.x, coalesce(n.v, 0) AS v FROM px LEFT JOIN ({_near(_clamped(f'abs({_LAPLACE})'), 1, where=_INSIDE)}) n ON n.frame_id = px.frame_id AND n.y = px.y AND n.x = px.x")
     _image("SharpenFilter", f"SELECT px.frame_id, px.y, px.x, coalesce(n.v, px.v) AS v FROM px LEFT JOIN ({_near(_clamped(f'p.v - {_LAPLACE}'), 1, where=_INSIDE)}) n ON n.frame_id = px.frame_id AND n.y = px.y AND n.x = px.x")
     gx, gy = "sum(q.v * dx * CASE WHEN dy = 0 THEN 2 ELSE 1 END)", "sum(q.v * dy * CASE WHEN dx = 0 THEN 2 ELSE 1 END)"
@@ -152,7 +151,6 @@ def _images() -> None:
     _image("ThresholdMorph", f"WITH bin AS {binary} " + _near("min(q.v)", 1, "bin", clamp=False))
     for name in ("GaussianFilter", "BilateralFilter", "GuidedFilter", "CannyEdge", "FillHoles", "Thinning", "Rotate", "GaussLowPass", "ButterworthHighPass", "BandPass", "HomomorphicFilter", "DenoiseNLM", "DenoiseWavelet", "AdaptiveHistogramEqualize", "PhaseSpectrum"):
         add(f"img_{name}", lambda s, d, t=name: _flat(images.run(frames(s, d), (t, {}))))
-    del zero
 
 
 def _measures() -> None:
