@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, text_of, word_hashes, written
+from .common import P, text_of, words_by_row, written
 
 SAMPLES = 128
 POOL_BITS = 16
@@ -69,8 +69,12 @@ def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bl
 
 
 def weighted_terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring words with the number of their occurrences; a lone word stands for itself."""
-    words = word_hashes(np.frombuffer(text, np.uint8))[1]
+    """Pairs of neighbouring words with the number of their occurrences; a lone word stands for itself.
+
+    A long text is hashed in pieces, so that memory beyond its words does not grow with it.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    words = np.concatenate([np.zeros(0, np.uint64), *(found for _, found, _ in words_by_row(raw, np.array([0, len(raw)])))])
     if len(words) > 1:
         with np.errstate(over="ignore"):
             words = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + (words[1:] ^ (words[1:] >> np.uint64(31)))
