@@ -148,3 +148,22 @@ def measure_pairs(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.nda
                     yield pa.RecordBatch.from_pydict(head | {n: _typed([g[n] for g in got], k) for n, k in zip(names, kinds, strict=True)})
 
     return joined.mapInArrow(run, f"frame_id long, other_id long, {fields}")
+
+
+def zip_images(inputs: list[DataFrame], step: Callable[..., np.ndarray]) -> DataFrame:
+    """`step` of the frames of equal id of all inputs; a frame that one of them lacks gives none. The first one's other columns stay."""
+    first = inputs[0]
+    joined = first
+    for k, df in enumerate(inputs[1:]):
+        joined = joined.join(df.select("frame_id", F.struct("width", "height", "channels", "format", "data").alias(f"__other{k}")), "frame_id")
+    schema, names = first.schema, [f"__other{k}" for k in range(len(inputs) - 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+                others = [row.pop(n) for n in names]
+                if row["data"] is not None and all(o["data"] is not None for o in others):
+                    row = _row(row, step(image_of(row), *map(image_of, others)))
+                yield pa.RecordBatch.from_pylist([{c: row[c] for c in schema.names}], schema=pa.schema([batch.schema.field(c) for c in schema.names]))
+
+    return joined.select(*first.columns, *names).mapInArrow(run, schema)

@@ -278,6 +278,75 @@ SELECT * FROM (SELECT frame_id, frame_id AS other_id, row_number() OVER (PARTITI
     add("contour_GenArcContour", lambda s, d: arc.plan(table(s, d, "region").selectExpr("r_regionkey", "r_regionkey * 10.0D AS center_x", "5.0D AS center_y", "r_regionkey + 1.0D AS radius"), **arc.bind({})).select("r_regionkey", "seq", "x", "y"), "SELECT r_regionkey, k::INT AS seq, r_regionkey * 10 + (r_regionkey + 1) * cos(radians(k / 50.0 * 90)) AS x, 5 + (r_regionkey + 1) * sin(radians(k / 50.0 * 90)) AS y FROM region, (SELECT unnest(range(51)) AS k)", "x y")
 
 
+def _products() -> None:
+    """Inspections, textures and surfaces whose measures are plain sums, by SQL; the others by their rows."""
+    px = f"WITH {_px('px', V1)}"
+
+    def m(type_id: str, sql: str | None, reals: str = "", **params) -> None:
+        op = find(type_id)
+        add(f"inspect_{type_id}", lambda s, d: op.plan(frames(s, d), **op.bind(params)), sql, reals)
+
+    m("PackageSeal", f"{px} SELECT *, seal_strength >= 0.7 AS is_good FROM (SELECT frame_id, greatest(0, 1 - stddev_pop(v) / avg(v)) AS seal_strength FROM px WHERE x IN (0, {W - 1}) OR y IN (0, {H - 1}) GROUP BY 1)", "seal_strength")
+    m("FabricColor", f"{px}, b AS (SELECT frame_id, y // 2 AS r, x // 2 AS c, avg(v) AS m FROM px GROUP BY 1, 2, 3) SELECT *, greatest(0, 1 - color_deviation / 128) AS uniformity, color_deviation <= 10 AS is_uniform FROM (SELECT frame_id, stddev_pop(m) AS color_deviation FROM b GROUP BY 1)", "color_deviation uniformity")
+    m("WaferSurfaceInspection", f"{px}, b AS (SELECT *, avg(v) OVER (PARTITION BY frame_id, y // 8, x // 8) AS m FROM px) SELECT *, roughness <= 10 AND flatness <= 5 AS is_acceptable FROM (SELECT frame_id, avg(abs(v - m)) AS roughness, stddev_pop(m) AS flatness, (max(v) - min(v))::DOUBLE AS peak_to_valley FROM b GROUP BY 1)", "roughness flatness peak_to_valley", block_size=8)
+    m("WaferDie", f"{px}, c AS (SELECT frame_id, (y // 4)::BIGINT AS row, (x // 6)::BIGINT AS col, avg(v) AS mean, stddev_pop(v) AS std_dev FROM px GROUP BY 1, 2, 3) SELECT frame_id, row, col, col * 6 AS x, row * 4 AS y, mean, std_dev, abs(mean - median(mean) OVER (PARTITION BY frame_id)) <= 30 AS is_good FROM c", "mean std_dev", die_width=6, die_height=4)
+    m("FoodFreshness", f"{px}, s AS (SELECT frame_id, 0.5 * avg(v) / 255 + 0.5 * greatest(0, 1 - stddev_pop(v) / avg(v)) AS score FROM px GROUP BY 1) SELECT frame_id, score, CASE WHEN score >= 0.6 THEN 'fresh' WHEN score >= 0.3 THEN 'acceptable' ELSE 'stale' END AS level FROM s", "score")
+    columns = f"{px}, c AS (SELECT frame_id, x, avg(v) AS m FROM px GROUP BY 1, 2), h AS (SELECT *, m > (min(m) OVER w + max(m) OVER w) / 2 AS high FROM c WINDOW w AS (PARTITION BY frame_id)), e AS (SELECT *, high AND NOT coalesce(lag(high) OVER (PARTITION BY frame_id ORDER BY x), FALSE) AS rise FROM h)"
+    m("ThreadCount", f"{columns} SELECT frame_id, count(*) FILTER (rise) AS thread_count, 3::BIGINT AS expected_count, count(*) FILTER (rise) - 3.0 AS deviation, count(*) FILTER (rise) = 3 AS is_correct FROM e GROUP BY 1", "deviation", expected_count=3)
+    m("VialInspect", f"{px}, r AS (SELECT frame_id, y, avg(v) AS m FROM px GROUP BY 1, 2), d AS (SELECT frame_id, y, abs(m - lag(m) OVER (PARTITION BY frame_id ORDER BY y)) AS s FROM r), t AS (SELECT frame_id, y, row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, y) AS k FROM d WHERE s IS NOT NULL) SELECT frame_id, 1 - y / {H}.0::DOUBLE AS liquid_level, 1 - y / {H}.0::DOUBLE >= 0.3 AS is_qualified FROM t WHERE k = 1", "liquid_level")
+    m("TextureAnalysis", f"{px}, n AS (SELECT a.frame_id, a.v // 32 AS i, b.v // 32 AS j, count(*)::DOUBLE / {(W - 1) * H} AS p FROM px a JOIN px b ON a.frame_id = b.frame_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1, 2, 3) SELECT frame_id, sum(p * p) AS uniformity, sum(p / (1 + abs(i - j))) AS coarseness, sum(p * (i - j) ** 2) AS contrast, -sum(p * log2(p)) AS entropy FROM n GROUP BY 1", "uniformity coarseness contrast entropy")
+    m("SurfaceRoughnessInspection", f"{px}, z AS (SELECT frame_id, x // 5 AS k, v * 0.5::DOUBLE AS z FROM px WHERE y = {H // 2} AND x % 5 = 0), a AS (SELECT frame_id, avg(z) AS m, max(z) - min(z) AS r FROM z GROUP BY 1) SELECT z.frame_id, avg(abs(z - m)) AS ra, 0.0::DOUBLE AS rz, r AS peak_to_valley, avg(abs(z - m)) <= 1.6 AS is_acceptable FROM z JOIN a ON z.frame_id = a.frame_id GROUP BY z.frame_id, r", "ra rz peak_to_valley")
+    rows = find("SimpleImageSource")
+    add("img_SimpleImageSource", lambda s, d: _flat(rows.plan(table(s, d, "region").selectExpr("cast(r_regionkey as long) AS frame_id"), width=12, height=5)), "SELECT r_regionkey::BIGINT AS frame_id, y::INT AS y, x::INT AS x, x * 255 // 11 AS v FROM region, (SELECT unnest(range(5)) AS y), (SELECT unnest(range(12)) AS x)")
+    for name in ("PCBComponent", "PCBTrace", "PCBPad", "PCBDefect", "WaferDefect", "WaferDefectClassification", "DieAlignment", "WaferEdgeInspection", "WaferDicingInspection", "WaferCrackDetection", "WaferThicknessMeasurement", "PackageLabel", "PackageQuality", "PackageIntegrity", "AssemblyCheck", "QualityGrade", "PillDetect", "PillDefect", "FoodContaminate", "FabricDefect", "CapsuleInspect", "SyringeCheck", "BlisterPack", "FruitQuality", "MeatQuality", "BottleInspect", "FabricPattern", "FabricDensity", "GarmentInspect", "PaintQuality", "PaintQualityInspection", "WeldInspect", "WeldSeamInspection", "PanelGap", "GapMeasurement", "PartPresence", "AssemblyVerification", "AssemblyVerify", "DimensionCheck", "DimensionalInspection", "BodyPanelInspection", "GearInspection", "ConnectorInspection", "BoltPresenceCheck", "TrainComponentModel", "CircleGridDetect", "CharSegment", "CharBox", "CharDetect", "TextLocate"):
+        m(name, None)
+    for name in ("color_recognize", "TextureAnalysisFFT", "FastCorner", "SobelCorner", "FeatureCluster", "ContourDetect", "ContourApprox", "ContourHierarchy", "ContourProperty", "FourierDescriptor", "ShapeContext", "GenContoursSkeleton", "MergeContours", "SubpixelEdge", "SubpixelCorner", "SubpixelLine", "SubpixelCircle", "EdgesSubPix", "EdgesSubPixCanny", "FindLines", "FindCircles", "MeasurePairs", "MeasureFuzzy", "CaliperMeasureDistance", "CaliperFitLine", "CaliperFindCorner", "CaliperProjectEdge", "CheckerboardDetect", "CalibrationPointsExtract", "CalibrationQualityCheck", "MomentInvariants", "PrecisionBenchmark", "photometric_stereo_calibrate"):
+        m(name, None)
+    for name in ("Watershed", "KMeansSegment", "RegionSplitMerge", "Superpixel", "MeanShiftSegment", "GraphCut", "GrabCut", "FFTForward", "shape_from_shading", "PrecisionTest"):
+        add(f"img_{name}", lambda s, d, t=name: _flat(images.run(frames(s, d), (t, {}))))
+    for name in ("KeyPointMatch", "CornerMatch", "ImageRegister", "DescriptorMatch", "FeaturePointMatch", "HomographyCalc", "FeatureTrack", "WaferPatternInspection", "WaferAlignment", "ShapeDefect", "FrequencyDefectDetect", "CalibrationMonitor"):
+        op = find(name)
+        add(f"match_{name}", lambda s, d, op=op: op.plan(frames(s, d), frames(s, d, V2), **op.bind({})))
+    for name in ("ImageStitch", "PanoramaStitch", "MosaicStitch", "MultiImageStitch", "stereo_match_ncc", "stereo_match_sgbm", "WienerFilter"):
+        op = find(name)
+        params = {"num_disparities": 8} if "stereo" in name else {"overlap": 4} if name == "MultiImageStitch" else {}
+        add(f"img_{name}", lambda s, d, op=op, params=params: _flat(op.plan(frames(s, d), frames(s, d, V2), **op.bind(params))))
+
+
+def _surfaces() -> None:
+    """Point clouds and long pixel tables."""
+
+    def t(type_id: str, sql: str | None, reals: str, *sources: tuple[str, list[str]], name: str = "", digits: int = 6, **params) -> None:
+        op = find(type_id)
+        add(f"tab_{name or type_id}", lambda s, d: op.plan(*[table(s, d, n).selectExpr(*e) for n, e in sources], **op.bind(params)), sql, reals, digits)
+
+    cloud = ("embeddings", ["cast(label as long) AS cloud_id", "vec_id AS point_id", "cast(embedding[0] as double) AS x", "cast(embedding[1] as double) AS y", "cast(embedding[2] as double) AS z"])
+    pts = "pts AS (SELECT label::BIGINT AS cloud_id, vec_id AS point_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+    t("pointcloud_cluster", f"""WITH RECURSIVE {pts}, l AS (SELECT a.cloud_id, a.point_id AS a, b.point_id AS b FROM pts a JOIN pts b ON a.cloud_id = b.cloud_id AND sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.2),
+reach AS (SELECT cloud_id, a, b FROM l UNION SELECT r.cloud_id, r.a, l.b FROM reach r JOIN l ON r.cloud_id = l.cloud_id AND r.b = l.a),
+c AS (SELECT cloud_id, a AS point_id, min(b) AS cluster FROM reach GROUP BY 1, 2)
+SELECT cloud_id, cluster, n, center_x, center_y, center_z FROM (SELECT c.cloud_id, cluster, count(*) AS n, avg(x) AS center_x, avg(y) AS center_y, avg(z) AS center_z FROM c JOIN pts ON c.cloud_id = pts.cloud_id AND c.point_id = pts.point_id GROUP BY 1, 2) WHERE n >= 2""", "center_x center_y center_z", cloud, tolerance=0.2, min_cluster_size=2)
+    faces = " UNION ALL ".join(f"SELECT cloud_id, {k} AS axis, {s} AS side, " + ", ".join(f"c{a}" + (f" + {s}" if j == k else "") + f" AS c{a}" for j, a in enumerate("xyz")) + " FROM v" for k in range(3) for s in (0, 1))
+    t("marching_cubes", f"WITH {pts}, v AS (SELECT DISTINCT cloud_id, floor(x / 0.5)::BIGINT AS cx, floor(y / 0.5)::BIGINT AS cy, floor(z / 0.5)::BIGINT AS cz FROM pts), f AS ({faces}) SELECT cloud_id, axis, min(side)::INT AS side, cx, cy, cz FROM f GROUP BY cloud_id, axis, cx, cy, cz HAVING count(*) = 1", "", cloud, voxel_size=0.5)
+    for name, params in (("PointCloudSegmentCluster", {"tolerance": 0.3, "min_cluster_size": 2}), ("PointCloudSegmentPlane", {"distance_threshold": 0.2, "min_inliers": 3}), ("PointCloudNormalEstimation", {"search_radius": 0.6}), ("pointcloud_visualize", {}), ("delaunay_triangulation", {})):
+        t(name, None, "", cloud, **params)
+    for name in ("global_register", "ndt_register", "PointCloudICP", "PointCloudNDT", "PointCloudFeatureMatching"):
+        t(name, None, "", cloud, cloud)
+    grid = ("part", ["cast(0 as long) AS frame_id", "cast((p_partkey - 1) div 50 as int) AS y", "cast((p_partkey - 1) % 50 as int) AS x", "cast(p_size % 7 - 3 as double) AS p", "cast(p_size % 5 - 2 as double) AS q"])
+    g = "g AS (SELECT 0::BIGINT AS frame_id, ((p_partkey - 1) // 50)::INT AS y, ((p_partkey - 1) % 50)::INT AS x, (p_size % 7 - 3)::DOUBLE AS p, (p_size % 5 - 2)::DOUBLE AS q FROM part)"
+    slope = lambda c, part, order: f"coalesce((lead({c}) OVER w{order} - lag({c}) OVER w{order}) / 2, lead({c}) OVER w{order} - {c}, {c} - lag({c}) OVER w{order}, 0)"
+    t("surface_curvature", f"WITH {g}, s AS (SELECT *, {slope('p', 'y', 'x')} AS a, {slope('p', 'x', 'y')} AS b, {slope('q', 'x', 'y')} AS c FROM g WINDOW wx AS (PARTITION BY frame_id, y ORDER BY x), wy AS (PARTITION BY frame_id, x ORDER BY y)) SELECT frame_id, y, x, ((1 + q * q) * a - 2 * p * q * b + (1 + p * p) * c) / (2 * pow(1 + p * p + q * q, 1.5)) AS mean_curvature, (a * c - b * b) / ((1 + p * p + q * q) ** 2) AS gaussian_curvature FROM s", "mean_curvature gaussian_curvature", grid)
+    t("surface_height_reconstruct", f"WITH {g}, r AS (SELECT *, coalesce((p + lag(p) OVER (PARTITION BY y ORDER BY x)) / 2, 0) AS s FROM g), h AS (SELECT y, x, sum(s) OVER (PARTITION BY y ORDER BY x) AS h FROM r), e AS (SELECT y, coalesce((q + lag(q) OVER (ORDER BY y)) / 2, 0) AS s FROM g WHERE x = 0), f AS (SELECT y, sum(s) OVER (ORDER BY y) AS h0 FROM e), z AS (SELECT h.y, x, h + h0 AS z FROM h JOIN f ON h.y = f.y) SELECT 0::BIGINT AS frame_id, y, x, z - min(z) OVER () AS height FROM z", "height", grid)
+    lit = ("lineitem", ["l_suppkey AS frame_id", "cast(l_quantity as int) AS y", "l_linenumber AS x", "l_extendedprice AS v"])
+    t("specularity_remove", "SELECT l_suppkey AS frame_id, l_quantity::INT AS y, l_linenumber AS x, median(l_extendedprice) AS v, count(*) AS n_lights FROM lineitem GROUP BY 1, 2, 3", "v", lit, digits=3)
+    t("multiple_light_acquire", "SELECT n_nationkey::BIGINT AS frame_id, k::INT AS light_id, cos(pi() / 2 * k) * sqrt(0.5) AS lx, sin(pi() / 2 * k) * sqrt(0.5) AS ly, sqrt(0.5) AS lz FROM nation, (SELECT unnest(range(4)) AS k)", "lx ly lz", ("nation", ["cast(n_nationkey as long) AS frame_id"]))
+    t("TrainCheckpoint", "WITH e AS (SELECT user_id AS run_id, event_id AS step, value AS loss FROM events), r AS (SELECT *, step % 5 = 0 AND row_number() OVER (PARTITION BY run_id, step % 5 = 0 ORDER BY step DESC) <= 5 AS k, row_number() OVER (PARTITION BY run_id ORDER BY loss NULLS LAST, step) = 1 AS is_best FROM e) SELECT run_id, step, loss, k OR is_best AS kept, is_best FROM r", "loss", ("events", ["user_id AS run_id", "event_id AS step", "value AS loss"]))
+    t("GenCrossContour", "SELECT n_nationkey::BIGINT AS contour_id, k::INT AS seq, n_regionkey + CASE k WHEN 0 THEN -10.0 WHEN 1 THEN 10.0 ELSE 0 END AS x, CASE k WHEN 3 THEN -10.0 WHEN 4 THEN 10.0 ELSE 0 END + 1.0 AS y FROM nation, (SELECT unnest(range(5)) AS k)", "x y", ("nation", ["cast(n_nationkey as long) AS contour_id", "cast(n_regionkey as double) AS x", "1.0D AS y"]))
+    t("GenPolygonContour", "SELECT n_nationkey::BIGINT AS contour_id, k::INT AS seq, CASE k % 3 WHEN 1 THEN n_regionkey ELSE 0 END::DOUBLE AS x, CASE k % 3 WHEN 2 THEN 7 ELSE 0 END::DOUBLE AS y FROM nation, (SELECT unnest(range(4)) AS k)", "x y", ("nation", ["cast(n_nationkey as long) AS contour_id", "concat('0,', n_regionkey, ',0') AS vertices_x", "'0,0,7' AS vertices_y"]))
+    parts = ("part", ["p_brand AS object_id", "cast(p_size as double) AS x", "p_retailprice / 100 AS y"])
+    t("EllipseFitMeasure", "WITH c AS (SELECT p_brand AS object_id, avg(p_size) AS mx, avg(p_retailprice / 100) AS my, var_pop(p_size) AS u, covar_pop(p_size, p_retailprice / 100) AS v, var_pop(p_retailprice / 100) AS w FROM part GROUP BY 1), e AS (SELECT *, sqrt((u + w) + 2 * sqrt(pow((u - w) / 2, 2) + v * v)) AS a, sqrt(greatest((u + w) - 2 * sqrt(pow((u - w) / 2, 2) + v * v), 0)) AS b FROM c) SELECT object_id, mx AS center_x, my AS center_y, a AS major_axis, b AS minor_axis, degrees(atan2(2 * v, u - w) / 2) AS angle_deg, pi() * a * b AS area, pi() * (3 * (a + b) - sqrt((3 * a + b) * (a + 3 * b))) AS perimeter, b / a AS ellipticity, b > 1e-9 AS is_valid FROM e", "center_x center_y major_axis minor_axis angle_deg area perimeter ellipticity", parts, digits=4)
+
+
 def build() -> None:
     if not _queries:
         load()
@@ -287,6 +356,8 @@ def build() -> None:
         _measures()
         _inspections()
         _tables()
+        _products()
+        _surfaces()
 
 
 def queries() -> dict[str, Query]:
