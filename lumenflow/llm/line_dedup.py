@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, text_of, written
+from .common import P, _mix, _powers, text_of, written
 
 #: A block is deleted only if one of its lines has so many characters; shorter ones occur by chance.
 MIN_CHARS = 20
@@ -80,6 +80,38 @@ def common_blocks(pairs: list[tuple[int, int]], long_line: list[bool]) -> list[i
     return out
 
 
+def windows(hashes: np.ndarray, long_line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (exclusive) and 64-bit codes of the least runs of lines that tell two documents have a block in common:
+    every line with the run from the nearest long line before it, and with the run to the nearest long line after it.
+    """
+    n, at = len(hashes), np.arange(len(hashes))
+    before = np.maximum.accumulate(np.where(long_line, at, -1))
+    after = np.minimum.accumulate(np.where(long_line, at, n)[::-1])[::-1]
+    start, end = np.concatenate((before[before >= 0], at[after < n])), np.concatenate((at[before >= 0], after[after < n])) + 1
+    up, down = _powers(max(n, 1))
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes.astype(np.uint64) * up[:n], dtype=np.uint64)))
+        code = (total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+    return start, end, _mix(code).astype(np.int64)
+
+
+def lost_lines(a: np.ndarray, long_line: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Positions in a of all blocks in common with b: those that patience diff aligns, and then those that stand in b in
+    another order or more than once, which no single alignment can match.
+    """
+    lost = np.zeros(len(a), bool)
+    lost[common_blocks(patience(a.tolist(), b.tolist()), long_line.tolist())] = True
+    if not (np.isin(a, b) & ~lost).any():
+        return np.flatnonzero(lost)
+    long_hashes = np.unique(a[long_line])
+    start, end, code = windows(a, long_line)
+    here = np.isin(code, windows(b, np.isin(b, long_hashes))[2])
+    step = np.zeros(len(a) + 1, np.int64)
+    np.add.at(step, start[here], 1)
+    np.add.at(step, end[here], -1)
+    return np.flatnonzero(lost | (np.cumsum(step)[:-1] > 0))
+
+
 def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """Line numbers to delete, a row for each document that loses lines: id, key (of the text), lines."""
     me, key, first = P + "id", P + "key", P + "first"
@@ -87,21 +119,26 @@ def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias(me), F.xxhash64(text_of(text_col)).alias(key), F.transform(lines, lambda x: F.trim(x)).alias(P + "lines"))
     rows = rows.select(me, key, F.transform(P + "lines", lambda x: F.xxhash64(x)).alias(P + "hash"), F.transform(P + "lines", lambda x: F.length(x) >= min_chars).alias(P + "long"))
     rows = written(rows, "lines")
-    telling = F.array_distinct(F.expr(f"transform(filter(arrays_zip({P}hash, {P}long), x -> x.{P}long), x -> x.{P}hash)"))
-    each = rows.select(me, F.explode(telling).alias(P + "h"))
-    # The first holder stands for all documents that share a line: one link for each line and document, whatever the
-    # line's frequency, so no line is too common and no group yields all its pairs.
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(windows(*_lines(h, g))[2]) for h, g in zip(b.column(1), b.column(2), strict=True)]
+            row = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=[me, P + "h"])
+
+    each = rows.filter(F.exists(P + "long", lambda x: x)).select(me, P + "hash", P + "long").mapInArrow(tell, f"{me} {kind}, {P}h long")
+    # The first holder stands for all documents that share a run: one link for each run and document, whatever the run's
+    # frequency, so no line is too common and no group yields all its pairs. Of a block in common with any earlier
+    # document every line stands in such a run, whose first holder is aligned too.
     shared = written(each.groupBy(P + "h").agg(F.min(me).alias(first), F.max(me).alias(P + "last")).filter(F.col(first) != F.col(P + "last")).drop(P + "last"), "shared")
     pairs = each.join(shared, P + "h").filter(F.col(me) != F.col(first)).select(me, first).distinct()
     other = rows.select(F.col(me).alias(first), F.col(P + "hash").alias(P + "other"))
     both = pairs.join(rows, me).join(other, first).select(me, key, P + "hash", P + "long", P + "other")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lost = []
-            for a, long_line, c in zip(*b.columns[2:], strict=True):
-                lost.append(np.array(common_blocks(patience(a.as_py(), c.as_py()), long_line.as_py()), np.int32))
+            lost = [lost_lines(*_lines(a, g), c.values.to_numpy()).astype(np.int32) for a, g, c in zip(*b.columns[2:], strict=True)]
             out = pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(lost, pa.list_(pa.int32()))], names=[me, key, P + "lost"])
             yield out.filter(pa.array([len(x) > 0 for x in lost], pa.bool_()))
 
@@ -109,11 +146,16 @@ def aligned_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return aligned.groupBy(me, key).agg(F.array_distinct(F.flatten(F.collect_list(P + "lost"))).alias(P + "lost"))
 
 
+def _lines(hashes: pa.ListScalar, long_line: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    return hashes.values.to_numpy(), long_line.values.to_numpy(zero_copy_only=False).astype(bool)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with aligned common blocks deleted from the later (higher id) document, and n_lines, n_deleted.
 
-    Rare lines are those that two or more documents have; each links its later documents to the first. A document is
-    aligned with every first holder of its lines by patience diff on line hashes; blank ends of lines
+    Rare lines are those that two or more documents have; each, and each run of lines with one, links its later documents
+    to the first. A document is aligned with every first holder of its runs by patience diff on line hashes, then what
+    is left by runs that moved, so that every block in common with any earlier document goes; blank ends of lines
     do not count. The first holder of a line never loses it, so no content is lost altogether.
 
     Rows with a null id, null or empty text stay as they are. Rows that repeat an id are one document: they are not

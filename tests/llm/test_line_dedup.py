@@ -46,3 +46,31 @@ def test_awkward_rows(awkward, nothing):
     rows = [r for r in out.collect() if r["doc_id"] is None or r["text"] is None]
     assert all(r["n_deleted"] == 0 for r in rows)
     assert D.dedup_lines(nothing).count() == 0
+
+
+def test_nothing_stays_that_aligns_with_any_earlier_document(spark):
+    rng = random.Random(5)
+    long = [f"a shared line of some length, number {i}" for i in range(25)]
+    docs = {}
+    for i in range(120):
+        own = [f"{x}{i}" for x in ("own ", "and a long line that only stands here ", "more ")]
+        docs[i] = [x for b in rng.sample(range(24), rng.randint(1, 4)) for x in (long[b], f"s{b % 3}", long[b + 1], *(own[:1] if rng.random() < 0.5 else ()))] + own[1:]
+        docs[i] = docs[i] + docs[i][:1] * rng.randint(0, 2)
+    got = {r["doc_id"]: r["text"].split("\n") for r in D.dedup_lines(spark.createDataFrame([(i, "\n".join(x)) for i, x in docs.items()], "doc_id long, text string")).collect()}
+    code = {x: k for k, x in enumerate({x for d in docs.values() for x in d})}
+    for i, d in docs.items():
+        lost = set()
+        for j in range(i):
+            lost |= set(D.common_blocks(D.patience([code[x] for x in d], [code[x] for x in docs[j]]), [len(x) >= D.MIN_CHARS for x in d]))
+        left = [x for k, x in enumerate(d) if k not in lost]
+        rest = iter(left)
+        assert got[i] == [""] or all(x in rest for x in got[i])
+        earlier = {x for j in range(i) for x in docs[j]}
+        assert not [x for x in got[i] if len(x) >= D.MIN_CHARS and x in earlier]
+
+
+def test_first_holder_with_the_line_twice_or_in_another_order(spark):
+    a, b, c = (f"{x} is a line that is long enough to tell" for x in "abc")
+    rows = [(1, f"{a}\nz\n{b}\n{a}\ny\n{c}"), (2, f"{c}\nx\n{a}\nown line of the second document\n{b}"), (3, f"{b}\nt"), (4, f"u\n{b}\nt\nv")]
+    got = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "x\nown line of the second document", 3: "t", 4: "u\nv"}
