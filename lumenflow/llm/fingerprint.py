@@ -10,59 +10,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, text_of, word_hashes, written
+from .common import P, _mix, text_of, word_hashes, written
 
 SAMPLES = 128
-POOL_BITS = 16
-_LOW = 16  # weights up to this many have a table of their own
-_tables: dict[int, tuple] = {}
+_seeds: dict[int, tuple] = {}
 
 
-def _pool(samples: int) -> tuple:
-    """Seeded Gamma(2, 1) and uniform variates; term and sample choose an entry by a hash.
+def _seed(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd multipliers and addends, a pair for each sample."""
+    if samples not in _seeds:
+        rng = np.random.default_rng(20100815)
+        mul, add = rng.integers(0, 1 << 63, (2, samples, 1), np.uint64)
+        _seeds[samples] = (mul << np.uint64(1)) | np.uint64(1), add
+    return _seeds[samples]
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """32 bits as a number in (0, 1]."""
+    out = bits.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2.0**-32)
+    return out
+
+
+def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, block: int = 256) -> np.ndarray:
+    """16 bits for each sample of a weighted set of 64-bit terms; zeros for the empty set.
 
     With r, c from Gamma(2, 1) and u uniform, a term of weight w has t = floor(ln w / r + u) and
-    ln a = ln c - r (t - u + 1); the sample is the term of least a, together with t.
+    ln a = ln c - r (t - u + 1); the sample is the term of least a, together with t. The variates are those of the
+    term and sample alone, from 128 bits hashed of both: r (1 - u) and r u are independent exponential variates e and f,
+    so r = e + f, a = c exp(-e) exp(-r t) and t = floor((ln w + f) / r), which is 0 for weight 1.
     """
-    if samples not in _tables:
-        rng, n = np.random.default_rng(20100815), 1 << POOL_BITS
-        r, c, u = rng.gamma(2, 1, n), rng.gamma(2, 1, n), rng.uniform(0, 1, n)
-        t = np.stack([np.floor(np.log(w) / r + u) for w in range(1, _LOW + 1)])
-        a = (np.log(c) - r * (t - u + 1)).astype(np.float32)
-        mul = (rng.integers(0, 1 << 31, samples, np.uint32) << np.uint32(1)) | np.uint32(1)
-        add = rng.integers(0, 1 << 32, samples, np.uint32)
-        _tables[samples] = r, np.log(c), u, t, a, mul[:, None], add[:, None]
-    return _tables[samples]
-
-
-def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, block: int = 1024) -> np.ndarray:
-    """16 bits for each sample of a weighted set of 64-bit terms; zeros for the empty set."""
-    out, least = np.zeros(samples, np.uint16), np.full(samples, np.inf)
-    r, log_c, u, t, a, mul, add = _pool(samples)
-    low = terms.astype(np.uint32) ^ (terms >> np.uint64(32)).astype(np.uint32)
+    out, least = np.zeros(samples, np.uint16), np.full(samples, np.inf, np.float32)
+    mul, add = _seed(samples)
     row = np.arange(samples)
-    for w in np.unique(weights):
-        own, own_low = terms[weights == w], low[weights == w]
+    for ones in (True, False):
+        of = (weights == 1) == ones
+        own, log_w = terms[of], np.log(weights[of]).astype(np.float32)
+        mixed = _mix(own)
         for i in range(0, len(own), block):
             with np.errstate(over="ignore"):
-                at = own_low[None, i : i + block] * mul
-                at += add
-            at ^= at >> np.uint32(15)
-            at &= np.uint32((1 << POOL_BITS) - 1)
-            if w <= _LOW:
-                value = a[w - 1][at]
-            else:
-                step = np.floor(np.log(w) / r[at] + u[at])
-                value = (log_c[at] - r[at] * (step - u[at] + 1)).astype(np.float32)
+                x = mixed[None, i : i + block] * mul
+                x += add
+                x ^= x >> np.uint64(32)
+                x *= np.uint64(0xD6E8FEB86659FD93)
+                x ^= x >> np.uint64(32)
+                y = x * np.uint64(0xA0761D6478BD642F)
+                y ^= y >> np.uint64(32)
+            x, y = x.view(np.uint32), y.view(np.uint32)
+            value = _unit(x[:, ::2])
+            value *= _unit(x[:, 1::2])
+            np.log(value, out=value)
+            first = _unit(y[:, ::2])
+            value *= first
+            np.negative(value, out=value)
+            if not ones:
+                f = -np.log(_unit(y[:, 1::2]))
+                r = np.maximum(f - np.log(first), np.float32(1e-30))
+                t = np.floor((log_w[None, i : i + block] + f) / r)
+                value *= np.exp(-r * t)
             best = value.argmin(axis=1)
             found = value[row, best]
             better = found < least
             if better.any():
                 k, b = row[better], best[better]
-                spot = at[k, b]
-                level = t[w - 1][spot] if w <= _LOW else np.floor(np.log(w) / r[spot] + u[spot])
+                level = np.zeros(len(k), np.int64) if ones else t[k, b].astype(np.int64)
                 with np.errstate(over="ignore"):
-                    code = (own[i + b] ^ level.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+                    code = (own[i + b] ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
                 out[k] = (code >> np.uint64(48)).astype(np.uint16)
                 least[k] = found[better]
     return out

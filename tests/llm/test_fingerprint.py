@@ -47,3 +47,14 @@ def test_awkward_rows(spark, awkward, nothing):
     assert P.edited_fingerprints(nothing).count() == 0
     (one,) = P.edited_fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).collect()
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1
+
+
+def test_likeness_of_texts_with_several_hundred_thousand_pairs():
+    rng = np.random.default_rng(9)
+    error = []
+    for _ in range(6):
+        a = rng.integers(0, 1 << 63, 300_000).astype(np.uint64)
+        b = np.concatenate((a[75_000:], rng.integers(0, 1 << 63, 75_000).astype(np.uint64)))
+        one = np.ones(len(a), np.int64)
+        error.append(P.likeness(P.signature(a, one), P.signature(b, one)) - 0.6)
+    assert abs(np.mean(error)) < 0.05
