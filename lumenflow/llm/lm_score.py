@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,52 +11,115 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import P, utf8, words_by_row
+from .common import P, utf8, words_by_row, written
 
-BUCKET_BITS = 18
+HEAD = 1 << 18  # at most so many words, the commonest, are known in every task; the others' counts are joined
 CLASSES = 64
-OWN = 448  # the commonest words have an input vector of their own, others that of their class
-PAD = OWN + CLASSES
+OWN = 448  # at least so many of the commonest words have an input vector of their own, others that of their class
+PAD = 0
 DIMS = 32
 REACH = 2
 BATCH = 8192
 STEP = 512  # words of a training step
-_SHAPES = ((2 * REACH, PAD + 1, DIMS), (DIMS,), (DIMS, CLASSES), (CLASSES,))
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    """The key of a word is its whole hash: no two words share a count."""
+    return hashes
+
+
+@dataclass
+class Counts:
+    """The written table of all words, h (hash) and n (occurrences), and how many words have each n."""
+
+    table: DataFrame
+    n: np.ndarray
+    words: np.ndarray
+
+    def sum(self) -> int:
+        return int((self.n * self.words).sum())
+
+
+@dataclass
+class Lookup:
+    """Values by word; the last is that of all words outside the head."""
+
+    words: np.ndarray
+    values: np.ndarray
+
+    def __getitem__(self, key):
+        return self.values[find(self.words, key)]
+
+
+def find(words: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Positions in the sorted words; their number for those that are not there."""
+    if not len(words):
+        return np.zeros(np.shape(key), np.int64)
+    at = np.minimum(np.searchsorted(words, key), len(words) - 1)
+    return np.where(words[at] == key, at, len(words))
 
 
 @dataclass
 class Vocabulary:
-    """From the counts of all words of the corpus: each bucket's class, log P(bucket | class) and input vector."""
+    """From the counts of all words of the corpus: each head word's class, log P(word | class) and input vector.
 
-    klass: np.ndarray
-    inside: np.ndarray
-    input: np.ndarray
+    The words outside the head are the last class; their log P(word | class), 0 here, comes from `tail`, the table of
+    their counts, by a join.
+    """
+
+    klass: Lookup
+    inside: Lookup
+    input: Lookup
     #: Log share of each class: where the network's output bias starts.
     prior: np.ndarray
+    own: int
+    tail: DataFrame | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "tail": None}
+
+    def shapes(self) -> tuple:
+        return (2 * REACH, 1 + self.own + CLASSES, DIMS), (DIMS,), (DIMS, CLASSES), (CLASSES,)
 
 
-def vocabulary(counts: np.ndarray) -> Vocabulary:
-    """Buckets in falling order of their counts form classes of like shares of all words: the commonest words stand alone or nearly so."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order] + 1e-9)
-    klass = np.empty(len(counts), np.int16)
-    klass[order] = np.minimum(((mass - counts[order] / 2) / mass[-1] * CLASSES).astype(np.int16), CLASSES - 1)
-    smooth = counts + 0.5
-    total = np.bincount(klass, smooth, CLASSES)
-    inside = np.log(smooth / total[klass]).astype(np.float32)
-    rank = np.empty(len(counts), np.int64)
-    rank[order] = np.arange(len(counts))
-    return Vocabulary(klass, inside, np.where(rank < OWN, rank, OWN + klass.astype(np.int64)).astype(np.int16), np.log(np.maximum(total, 0.5) / total.sum()).astype(np.float32))
+def vocabulary(counts: Counts, most: int = HEAD) -> Vocabulary:
+    """Words in falling order of their counts form classes of like shares of all words: the commonest words stand alone or nearly so.
+
+    The head is all words of at least so many occurrences that `most` words are not exceeded. The number of input
+    vectors grows with the root of the number of words.
+    """
+    order = np.argsort(-counts.n)
+    fits = np.cumsum(counts.words[order]) <= most
+    least = int(counts.n[order][fits].min()) if fits.any() else int(counts.n.max(initial=0)) + 1
+    got = counts.table.filter(F.col("n") >= least).toArrow()
+    words, n = got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("n").to_numpy().astype(np.int64)
+    rare = counts.n < least
+    place = np.argsort(words)
+    words, n = words[place], n[place]
+    order = np.argsort(-n, kind="stable")
+    mass = np.cumsum(n[order] + 1e-9)
+    usual = CLASSES - 1 if rare.any() else CLASSES
+    klass = np.full(len(words) + 1, CLASSES - 1, np.int16)
+    if len(words):
+        klass[order] = np.minimum(((mass - n[order] / 2) / mass[-1] * usual).astype(np.int16), usual - 1)
+    smooth = n + 0.5
+    total = np.bincount(klass[:-1], smooth, CLASSES)
+    beyond = float(((counts.n + 0.5) * counts.words)[rare].sum())
+    inside = np.append(np.log(smooth / total[klass[:-1]]), 0).astype(np.float32)
+    total[-1] += beyond
+    own = max(OWN, math.isqrt(int(counts.words.sum())))
+    rank = np.full(len(words) + 1, own, np.int64)
+    rank[order] = np.arange(len(words))
+    vector = np.where(rank < own, 1 + rank, 1 + own + klass.astype(np.int64)).astype(np.int32)
+    tail = counts.table.filter(F.col("n") < least).select("h", F.log((F.col("n") + 0.5) / F.lit(beyond)).alias("inside")) if rare.any() else None
+    prior = np.log(np.maximum(total, 0.5) / max(total.sum(), 0.5)).astype(np.float32)
+    return Vocabulary(Lookup(words, klass), Lookup(words, inside), Lookup(words, vector), prior, own, tail)
 
 
 def initial(voc: Vocabulary, seed: int = 11) -> list[np.ndarray]:
     """Before any training: small weights, and the classes' own shares whatever stands around."""
     rng = np.random.default_rng(seed)
-    net = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in _SHAPES]
+    net = [rng.normal(0, 0.1, s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for s in voc.shapes()]
     net[3] = voc.prior.copy()
     return net
 
@@ -80,8 +144,9 @@ def _windows(key: np.ndarray, counts: np.ndarray, voc: Vocabulary):
     n, row = len(key), np.repeat(np.arange(len(counts)), counts)
     padded = np.full(n + 2 * REACH * len(counts), PAD, np.int64)
     at = np.arange(n) + REACH + 2 * REACH * row
-    padded[at] = voc.input[key]
-    return [padded[at + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], voc.klass[key]
+    known = find(voc.klass.words, key)
+    padded[at] = voc.input.values[known]
+    return [padded[at + d] for d in (*range(-REACH, 0), *range(1, REACH + 1))], voc.klass.values[known], known
 
 
 def learn(net: list[np.ndarray], around: list[np.ndarray], want: np.ndarray, rate: float) -> None:
@@ -104,41 +169,50 @@ def learn(net: list[np.ndarray], around: list[np.ndarray], want: np.ndarray, rat
 
 
 def log_likelihood(net: list[np.ndarray], voc: Vocabulary, key: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Of each row: the sum over its words of log P(word | both sides)."""
-    around, klass = _windows(key, counts, voc)
+    """Of each row: the sum over its words of log P(word | both sides), of those outside the head log P(class | both sides)."""
+    around, klass, known = _windows(key, counts, voc)
     each = np.empty(len(key), np.float64)
     for a in range(0, len(key), BATCH):
         z = _log_softmax(net, _hidden(net, [x[a : a + BATCH] for x in around]))
         each[a : a + BATCH] = z[np.arange(len(z)), klass[a : a + BATCH]]
-    each += voc.inside[key]
+    each += voc.inside.values[known]
     total = np.concatenate(([0.0], np.cumsum(each)))
     ends = np.concatenate(([0], np.cumsum(counts)))
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def corpus_counts(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Occurrences of each hash bucket over all words of all documents: at most 2**18 rows reach the driver."""
+def corpus_counts(docs: DataFrame, text_col: str = "text") -> Counts:
+    """Occurrences of every word of all documents, in a written table; the driver gets one row for each different count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BUCKET_BITS, np.int64)
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+
         for b in batches:
             for _, found, _ in words_by_row(*utf8(b.column(0))):
-                total += np.bincount(buckets(found), minlength=1 << BUCKET_BITS)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["b", "n"])
+                held.append(found)
+                size += len(found)
+                if size > 2_000_000:
+                    yield counted()
+                    held, size = [], 0
+        if size:
+            yield counted()
 
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    got = docs.select(F.col(text_col).alias(P + "text")).mapInArrow(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()
-    out[got.column("b").to_numpy()] = got.column("n").to_numpy()
-    return out
+    rows = docs.select(F.col(text_col).alias(P + "text")).mapInArrow(count, "h long, n long")
+    table = written(rows.groupBy("h").agg(F.sum("n").alias("n")), "words")
+    got = table.groupBy("n").agg(F.count("*").alias("words")).toArrow()
+    return Counts(table, got.column("n").to_numpy().astype(np.int64), got.column("words").to_numpy().astype(np.int64))
 
 
-def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int = 1, rate: float = 1.0) -> list[np.ndarray]:
+def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 1.0) -> list[np.ndarray]:
     """Parameter mixing: every task descends over all of its words from a common start, and the weights are averaged by
     the number of words learnt from. All documents take part; what the tasks send grows with their number. Averages are
     taken over whole numbers, so that the order in which tasks end makes no difference.
     """
-    net = initial(voc)
+    net, shapes = initial(voc), voc.shapes()
     for _ in range(rounds):
 
         def descend(batches: Iterator[pa.RecordBatch], start=net) -> Iterator[pa.RecordBatch]:
@@ -147,7 +221,7 @@ def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int
                 for _, found, counts in words_by_row(*utf8(b.column(0))):
                     if not len(found):
                         continue
-                    around, want = _windows(buckets(found), counts, voc)
+                    around, want, _ = _windows(buckets(found), counts, voc)
                     for a in range(0, len(want), STEP):
                         step = rate / (1 + seen / 2_000_000)
                         learn(own, [x[a : a + STEP] for x in around], want[a : a + STEP], step * min(1.0, len(want[a : a + STEP]) / 512))
@@ -160,9 +234,9 @@ def train(docs: DataFrame, voc: Vocabulary, text_col: str = "text", rounds: int
         sums = docs.select(F.col(text_col).alias(P + "text")).mapInArrow(descend, "k int, v long, w long").groupBy("k").agg(F.sum("v").alias("v"), F.sum("w").alias("w")).toArrow()
         if not sums.num_rows:
             return net
-        flat = np.zeros(sum(int(np.prod(s)) for s in _SHAPES), np.float32)
+        flat = np.zeros(sum(int(np.prod(s)) for s in shapes), np.float32)
         flat[sums.column("k").to_numpy()] = sums.column("v").to_numpy() / sums.column("w").to_numpy() / (1 << 20)
-        net = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in _SHAPES])[:-1]), _SHAPES, strict=True)]
+        net = [x.reshape(s) for x, s in zip(np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1]), shapes, strict=True)]
     return net
 
 
@@ -179,14 +253,42 @@ def score(docs: DataFrame, net: list[np.ndarray], voc: Vocabulary, id_col: str =
             for i, found, counts in words_by_row(*utf8(b.column(1))):
                 total[i : i + len(counts)] = log_likelihood(net, voc, buckets(found), counts)
                 words[i : i + len(counts)] = counts
-            mean = pa.array(total / np.maximum(words, 1), mask=words == 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words), pa.array(total), mean], names=[P + "id", "n_words", "log_prob", "log_prob_per_word"])
+            yield pa.RecordBatch.from_arrays([*b.columns[::2], pa.array(words), pa.array(total)], names=[P + "id", P + "key", "n_words", P + "sum"])
+
+    rows = docs.select(F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "text"), F.xxhash64(text_col).alias(P + "key"))
+    out, total = rows.mapInArrow(run, f"{P}id {kind}, {P}key long, n_words long, {P}sum double"), F.col(P + "sum")
+    if voc.tail is not None:
+        rest = _tail_sums(rows, voc, kind)
+        out = out.join(rest, out[P + "id"].eqNullSafe(rest[P + "id2"]) & (out[P + "key"] == rest[P + "key2"]), "left")
+        total = total + F.coalesce(F.col(P + "rest"), F.lit(0.0))
+    per_word = F.when(F.col("n_words") > 0, total / F.col("n_words"))
+    return out.select(F.col(P + "id").alias(id_col), "n_words", total.alias("log_prob"), per_word.alias("log_prob_per_word"))
+
 
-    rows = docs.select(F.col(id_col).alias(P + "id"), F.col(text_col).alias(P + "text"))
-    return rows.mapInArrow(run, f"{P}id {kind}, n_words long, log_prob double, log_prob_per_word double").withColumnRenamed(P + "id", id_col)
+def _tail_sums(rows: DataFrame, voc: Vocabulary, kind: str) -> DataFrame:
+    """The sum of log P(word | class) over each text's words outside the head; whole numbers, so that no order matters."""
+    words = voc.klass.words
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, found, counts in words_by_row(*utf8(b.column(1))):
+                row = np.repeat(np.arange(i, i + len(counts)), counts)
+                out = find(words, found) == len(words)
+                row, h = row[out], found[out]
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), bool), (h[1:] != h[:-1]) | (row[1:] != row[:-1]))))
+                times = np.diff(np.append(first, len(h)))
+                at = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(h[first].view(np.int64)), pa.array(times)], names=[P + "id2", P + "key2", "h", "k"])
+
+    me = [P + "id2", P + "key2"]
+    each = rows.mapInArrow(rare, f"{P}id2 {kind}, {P}key2 long, h long, k long").groupBy(*me, "h").agg(F.max("k").alias("k"))
+    part = F.round(F.col("inside") * (1 << 30)).cast("long") * F.col("k")
+    return each.join(voc.tail, "h").groupBy(*me).agg((F.sum(part) / (1 << 30)).alias(P + "rest"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """Counts, network and scores, each over all documents: three passes, no text is shuffled."""
+    """Counts, network and scores, each over all documents: no text is shuffled."""
     voc = vocabulary(corpus_counts(docs, text_col))
     return score(docs, train(docs, voc, text_col, **how), voc, id_col, text_col)

@@ -39,3 +39,24 @@ def test_awkward_rows(awkward, nothing):
     assert len(rows) == awkward.count()
     assert all((r["n_words"] == 0) == (r["log_prob_per_word"] is None) for r in rows)
     assert M.pseudo_likelihood(nothing).count() == 0
+
+
+def test_counts_are_of_words_and_a_joined_tail_scores_exactly(spark, docs, texts):
+    counts = M.corpus_counts(docs)
+    want = {}
+    for t in texts.values():
+        for w in t.split():
+            want[w] = want.get(w, 0) + 1
+    words = {w: int(word_hashes(np.frombuffer(w.encode(), np.uint8))[1][0]) for w in want}
+    table = {r["h"] % (1 << 64): r["n"] for r in counts.table.collect()}
+    assert table == {words[w]: n for w, n in want.items()}
+    voc = M.vocabulary(counts, 500)
+    net = M.initial(voc)
+    assert voc.tail is not None and len(voc.klass.words) <= 500
+    got = {r["doc_id"]: r["log_prob"] for r in M.score(docs, net, voc).collect()}
+    head = set(voc.klass.words.tolist())
+    beyond = sum(n + 0.5 for h, n in table.items() if h not in head)
+    for i in list(texts)[:25]:
+        key = word_hashes(np.frombuffer(texts[i].encode(), np.uint8))[1]
+        tail = sum(np.log((table[h] + 0.5) / beyond) for h in key.tolist() if h not in head)
+        assert abs(M.log_likelihood(net, voc, key, np.array([len(key)]))[0] + tail - got[i]) < 1e-3 + 1e-6 * abs(got[i])
