@@ -297,8 +297,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     clear = lambda s: ~F.exists(P + "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rated = F.transform(F.filter(P + "proposed", clear), lambda s: F.struct(model.column(s).alias("p"), (-s["start"]).alias("first"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     df = df.withColumn(P + "rated", F.filter(rated, lambda s: s["p"] >= cut(s)))
-    beaten = lambda s: F.exists(P + "rated", lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]) & (F.struct(o["p"], o["first"], -o["kind"]) > F.struct(s["p"], s["first"], -s["kind"])))
-    added = F.transform(F.filter(P + "rated", lambda s: ~beaten(s)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    # By falling probability, then start, then kind; each is taken if none of those taken before overlaps it.
+    ranked = F.transform(F.sort_array(F.transform(P + "rated", lambda s: F.struct(s["p"], s["first"], (-s["kind"]).alias("rank"), s["kind"], s["start"], s["end"])), asc=False), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    taken = lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(s)))
+    added = F.aggregate(ranked, F.filter(ranked, lambda s: F.lit(False)), taken)
     name = lambda a: F.transform(a, lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return df.select(
         F.col(P + "id").alias(id_col), *[F.size(P + k).cast("long").alias("n_" + k) for k in KINDS],

@@ -57,3 +57,33 @@ def test_trees_as_columns_equal_trees_in_numpy(spark):
 def test_awkward_rows(awkward, nothing):
     assert pii.find_pii(awkward).count() == awkward.count()
     assert pii.find_pii(nothing).count() == 0
+
+
+class Rated:
+    """Trees of which a span's probability is what the test says for its start."""
+
+    thresholds = (0.5,) * len(pii.KINDS)
+
+    def __init__(self, by_start):
+        self.by_start = by_start
+
+    def column(self, s):
+        from pyspark.sql import functions as F
+
+        out = F.lit(0.0)
+        for start, p in self.by_start.items():
+            out = F.when(s["start"] == start, F.lit(p)).otherwise(out)
+        return out
+
+
+def test_added_spans_are_taken_greedily_in_chains(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    chain = [(0, 5), (4, 9), (8, 12), (20, 25)]
+    spans = F.array(*[F.struct(F.lit(3).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in chain])
+    monkeypatch.setattr(pii, "proposals", lambda df, text: df.withColumn(pii.P + "proposed", spans))
+    df = spark.createDataFrame([(1, "x" * 30)], "doc_id long, text string")
+    (r,) = pii.find_pii(df, model=Rated({0: 0.9, 4: 0.8, 8: 0.7, 20: 0.6})).collect()
+    assert [(s["start"], s["end"]) for s in r["all_spans"]] == [(0, 5), (8, 12), (20, 25)]
+    (r,) = pii.find_pii(df, model=Rated({0: 0.7, 4: 0.9, 8: 0.8, 20: 0.4})).collect()
+    assert [(s["start"], s["end"]) for s in r["all_spans"]] == [(4, 9)]
