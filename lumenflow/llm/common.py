@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Prefix of every internal column, so that columns of the caller never clash with ours.
 P = "__lf_"
 
@@ -17,23 +19,26 @@ _own_folder: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset a folder of our own, on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="lumenflow-"))
         base = _own_folder[0]
     return f"{base.rstrip('/')}/lumenflow-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
+def written(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, a folder for each value of `by`, and read it back: cuts lineage, survives lost executors.
 
     The table is the input of later plans, so its true size is known to the optimizer.
     """
+    ship(df.sparkSession)
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
