@@ -30,22 +30,33 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lumenflow-{spark.sparkContext.applicationId}"
 
 
+_written: list[str] = []
+
+
 def written(df: DataFrame, label: str, *by: str) -> DataFrame:
     """Write df to the shared folder, a folder for each value of `by`, and read it back: cuts lineage, survives lost executors.
 
     The table is the input of later plans, so its true size is known to the optimizer.
     """
-    ship(df.sparkSession)
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables of this application."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_tables() -> list[str]:
+    """Paths of the scratch tables that stand, in order of writing; the last is that of the last `written`."""
+    return list(_written)
+
+
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch tables: of the given paths, or all of this application. Nothing may read them afterwards."""
+    for path in paths or (scratch_root(spark),):
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written[:] = [p for p in _written if p not in paths] if paths else []
 
 
 def text_of(name: str) -> Column:

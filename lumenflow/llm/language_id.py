@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import P, runs, utf8
 
 ORDERS = (2, 3, 4)
@@ -136,17 +137,17 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], held:
     return model
 
 
-def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_language: int = 400, max_documents: int = 4000, max_languages: int = 256, **how) -> Model | None:
-    """Fit on a bounded sample of labelled rows: at most `per_language` rows of each of the `max_languages`
-    commonest languages, and about `max_documents` in all, chosen by a hash of the row. Tasks send hashed counts of
+def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", learn: Column | None = None, per_language: int = 400, max_documents: int = 4000, **how) -> Model | None:
+    """Fit on a bounded sample of labelled rows: at most `per_language` rows of each language, and about `max_documents`
+    in all (one a language at least), chosen by a hash of the row. Every label has a class. Tasks send hashed counts of
     whole texts, at most 2**15 numbers each. None if nothing is labelled.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (learn if learn is not None else F.lit(True)))
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
     if not sizes:
         return None
     each = max(1, min(per_language, max_documents // len(sizes)))
-    bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 1.25 * each / n + 10 / n))])
+    bound = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, 1.25 * each / n + 10 / n))])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)).cast("long")
     picked = labelled.select(F.col(lang_col).alias(P + "lang"), F.col(text_col).alias(P + "text"), draw.alias(P + "u")).filter(F.col(P + "u") < bound[F.col(P + "lang")] * F.lit(float(1 << 30)))
 
@@ -173,27 +174,27 @@ def train_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return fit(bags, [langs[i] for i in order], held, **how)
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score (calibrated probability) and rejected.
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text", prefix: str = "") -> DataFrame:
+    """docs with lang_pred, score (calibrated probability) and rejected, under names that begin with `prefix`.
 
     A text that is null or has no letter is `und` with score 0. A prediction is rejected when its calibrated
     probability is under the model's min_score; `und` is always rejected. Without a model everything is `und`.
-    Only the text is looked at, whole. Columns of docs named like the new ones are replaced.
+    Only the text is looked at, whole: a very long one in pieces of memory. Rows that repeat are judged alike, one by
+    one; of languages that tie the first by name is told. An empty table gives an empty result. Columns of docs named
+    like the new ones are replaced; give a prefix to keep them.
     """
     import copy
 
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias(P + "text"))
+    ship(docs.sparkSession)
+    new = [prefix + c for c in ("lang_pred", "score", "rejected")]
+    names = [c for c in docs.columns if c not in new]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias(P + "text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(P + "letter"))
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
-    out = copy.deepcopy(schema).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    out = copy.deepcopy(schema).add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        letter = regex.compile(r"\p{L}")
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            ok = np.array([t is not None and letter.search(t) is not None for t in (x.as_py() for x in text)], bool)
+            text, ok = b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             label, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
             if model is not None and ok.any():
                 p = model.probabilities(model.logits(*utf8(text)))
@@ -201,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 label[ok] = np.array(model.labels, object)[best[ok]]
                 score[ok] = p[np.arange(len(p)), best][ok]
             rejected = ~ok | (score < (model.min_score if model else 2))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(label, pa.string()), pa.array(score), pa.array(rejected)], names=[*names, *new])
 
     return rows.mapInArrow(predict, out)
 

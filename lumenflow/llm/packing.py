@@ -23,9 +23,10 @@ _encoders: dict[str, Callable] = {}
 
 
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a byte-level BPE file. Ranks are the vocabulary's, so tiktoken gives the ids that
-    tokenizers gives, several times faster; texts that may hold a pre-token of LONG_RUN characters
-    go to tokenizers itself, whose merge is not quadratic. The strings of special tokens are ordinary text.
+    """Ids as tokenizers gives them by default, without added special tokens; strings of special tokens that stand in a
+    text have the tokens' ids. Ranks are the vocabulary's, so tiktoken gives the same ids several times faster; texts
+    that may hold a pre-token of LONG_RUN characters, and those with a special token's string, go to tokenizers
+    itself, whose merge is not quadratic.
     """
     if path in _encoders:
         return _encoders[path]
@@ -35,16 +36,17 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(visible))}
-    special = {t["content"] for t in spec["added_tokens"]}
+    special = sorted({t["content"] for t in spec["added_tokens"]})
     ranks = {bytes(letters[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in special}
     fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
+        if any(x in text for x in special):
+            return slow.encode(text, add_special_tokens=False).ids
         if len(text) >= LONG_RUN:
             words = text.split()
             blanks = len(text) - sum(map(len, words))

@@ -14,7 +14,6 @@ from lumenflow.llm import packing
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -22,15 +21,25 @@ def plain():
 @given(st.text(max_size=80))
 def test_ids_equal_the_tokenizers(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_ids_equal_the_tokenizers, "t") else test_ids_equal_the_tokenizers.t
-    t.encode_special_tokens = True
     test_ids_equal_the_tokenizers.t = t
     assert packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))(text) == t.encode(text, add_special_tokens=False).ids
 
 
 def test_long_runs_and_special_strings(plain):
     e = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    for text in ("a" * 20_000, " " * 9_000, "\n \t" * 4_000, "<|endoftext|> x", "é" * 5_000 + " ok"):
+    for text in ("a" * 20_000, " " * 9_000, "\n \t" * 4_000, "<|endoftext|> x", "a<|endoftext|><|endoftext|>\n", "<|endoftext|", "é" * 5_000 + " ok"):
         assert e(text) == plain(text)
+    assert e("<|endoftext|> x") == [50256, 2124]
+    # Around the length from which tokenizers itself is used, for every class of pre-token.
+    for unit in ("a", "7", " ", "\n", "!", "é", "漢", "🙂", "\u0301", "\u00a0", "'s", "aB", "\r\n", " \t"):
+        for n in (packing.LONG_RUN - 3, packing.LONG_RUN - 1, packing.LONG_RUN, packing.LONG_RUN + 1):
+            for text in (unit * n, "x " + unit * n + " y", (unit * (n // 2) + " ") * 2):
+                assert e(text) == plain(text)
+
+
+def test_ids_of_all_documents_equal_the_tokenizers(texts, plain):
+    e = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(e(t) == plain(t) for t in texts.values())
 
 
 @given(st.lists(st.integers(1, 40), max_size=25), st.integers(1, 60))
