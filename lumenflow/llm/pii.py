@@ -1,4 +1,4 @@
-"""Personal data: base patterns, high-recall generators, and boosted trees that select what generators propose."""
+"""Personal data: base patterns, high-recall generators, and boosted trees that select what generators propose for redaction."""
 
 from __future__ import annotations
 
@@ -23,11 +23,13 @@ BASE = {
 }
 #: Proposals beyond the base: written-out addresses, numbers without country code or check digit, long addresses.
 GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]++\x20?(?:\[dot\]|\(dot\)|\.)\x20?[A-Za-z]{2,10}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|@)\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\[dot\]|\(dot\))\x20?|\.)[A-Za-z0-9-]++){1,5}+",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20-]?[0-9]{4}){3}(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z.+-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{2,4}(?:[\x20.-][0-9]{2,4}){1,3}(?![0-9A-Za-z-])",
 }
+#: Secrets: a name that says so, then a long value without blanks that has digits. They stand apart from the four kinds.
+SECRET = r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key)\x20?[:=]\x20?[\"']?(?=[a-z0-9+/_-]{0,200}[0-9])[a-z0-9+/_-]{16,200}"
 #: Words before a span that speak for or against each kind.
 CONTEXT = {
     "email": "mail|contact|write|address|reply",
@@ -124,7 +126,7 @@ def proposals(df: DataFrame, text: str) -> DataFrame:
                 F.when(F.length(digits).between(13, 19) & _luhn(digits), 1).otherwise(0).alias("luhn"),
                 before.rlike(rf"\b(?:{CONTEXT[kind]})").cast("int").alias("for_it"), before.rlike(rf"\b(?:{AGAINST})").cast("int").alias("against_it"),
                 F.substring(before, -1, 1).rlike("[0-9A-Za-z_=/#\"']").cast("int").alias("glued"),
-                hit.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$").cast("int").alias("shape"),
+                hit.rlike(r"^\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}$|[@)\]]\x20?[A-Za-z][A-Za-z0-9-]*[\x20(\[.].*[A-Za-z]{2,}$").cast("int").alias("shape"),
             ]
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), *fields)
 
@@ -202,11 +204,41 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
     return out
 
 
-def _examples(n: int = 2400, seed: int = 5) -> list[tuple[str, int, int]]:
-    """(text, kind, label): one proposal each, true or not, in words that speak for, against or neither."""
+Window = tuple[str, str, str]
+
+
+def document_windows(docs: DataFrame, text_col: str = "text", rows: int = 20_000, most: int = 200) -> dict[str, list[Window]]:
+    """What stands before, in and after base spans of a bounded sample: of about `rows` documents, chosen by a hash of the
+    text, at most `most` spans of each kind.
+    """
+    share = min(1.0, rows / max(docs.count(), 1))
+    text = text_of(text_col)
+    chosen = docs.filter(F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text.alias(P + "text"))
+    found = base_spans(chosen, P + "text")
+    t, out = F.col(P + "text"), None
+    for kind in KINDS:
+        spans = found.filter(F.size(P + kind) > 0).select(F.lit(kind).alias("kind"), t, F.explode(P + kind).alias("s"))
+        before = F.substring(t, F.greatest(F.col("s.start") - 39, F.lit(1)), F.least(F.col("s.start"), F.lit(40)))
+        each = spans.select("kind", before.alias("before"), F.col("s.hit").alias("hit"), F.substring(t, F.col("s.end") + 1, F.lit(40)).alias("after"))
+        each = each.orderBy(F.xxhash64("before", "hit", "after"), "before", "hit", "after").limit(most)
+        out = each if out is None else out.unionByName(each)
+    got: dict[str, list[Window]] = {k: [] for k in KINDS}
+    for r in out.collect():
+        got[r["kind"]].append((r["before"], r["hit"], r["after"]))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def _examples(windows: dict[str, list[Window]], n: int = 2400, seed: int = 5) -> list[tuple[str, int, int]]:
+    """(text, kind, label): one proposal each, true or not, in surroundings that speak for, against or neither.
+
+    Surroundings and values are those of base spans of the documents, where there are any: a true one is such a value
+    written in another form (an address spelt out, a number without its country code), a false one is corrupted (a check
+    digit that fails, a date, a row of numbers) or stands after words that say it is something else.
+    """
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     w = lambda: "".join(rng.choice("aeinorstlm") for _ in range(rng.randint(3, 9)))
+    around = [(a, c) for v in windows.values() for a, _, c in v]
 
     def card(valid: bool) -> str:
         while True:
@@ -223,42 +255,49 @@ def _examples(n: int = 2400, seed: int = 5) -> list[tuple[str, int, int]]:
         k = i % 4
         kind = KINDS[k]
         lead = rng.choice(["for", "against", "none", "none"])
-        words = f"{w()} {w()} "
+        before, after = rng.choice(around) if around and rng.random() < 0.5 else (f"{w()} {w()} ", f" {w()} {w()}")
+        value = rng.choice(windows[kind])[1] if windows.get(kind) and rng.random() < 0.5 else None
         context = rng.choice(for_it[kind]) if lead == "for" else rng.choice(against) if lead == "against" else ""
         if kind == "email":
             at, dot = rng.choice([(" (at) ", " (dot) "), ("[at]", "[dot]"), (" @ ", "."), ("(at)", "(dot)")])
-            good = lead != "against"
-            text = f"{w()}.{d(2)}{at}{w()}{dot}{rng.choice(['com', 'org', 'net'])}" if good else f"{w()} @ {d(2)}.{w()[:4]}"
+            good = rng.random() < 0.6
+            name, _, host = (value or f"{w()}.{d(2)}@{w()}.{rng.choice(['com', 'org', 'net'])}").partition("@")
+            text = name + at + host.replace(".", dot) if good else f"{w()} @ {d(2)}.{w()[:4]}"
         elif kind == "ip":
             text, good = ":".join("".join(rng.choice("0123456789abcdef") for _ in range(4)) for _ in range(8)), lead != "against"
         elif kind == "card":
             luhn = rng.random() < 0.4
-            text, good = card(luhn), luhn and lead != "against" or lead == "for" and rng.random() < 0.9
+            text, good = card(luhn), luhn and lead != "against" or lead == "for"
         else:
+            digits = "".join(c for c in value or "" if c.isdigit())[-10:]
+            digits = digits if len(digits) == 10 else d(10)
             shape = rng.choice(["({}) {}-{}", "{}-{}-{}", "{} {} {}", "{}.{}.{}"])
-            text, good = shape.format(d(3), d(3), d(4)), lead == "for" or shape[0] == "(" and lead == "none"
+            text, good = shape.format(digits[:3], digits[3:6], digits[6:]), lead == "for" or shape[0] == "(" and lead == "none"
             other = rng.random()
             if other < 0.2:
                 text, good = f"{d(4)}-{d(2)}-{d(2)}", False
             elif other < 0.6:  # a row of numbers
                 sep = rng.choice([" ", ".", "-"])
                 text, good = sep.join(d(rng.choice([2, 2, 3, 4])) for _ in range(rng.randint(3, 5))), False
-        out.append((words + context + text + f" {w()} {w()}", k, int(good)))
-    return out
+        out.append((before + context + text + after, len(before + context), k, int(good)))
+    return [(t, at, k, y) for t, at, k, y in out]
 
 
-_trained: dict[str, Trees] = {}
+_trained: dict[tuple, Trees] = {}
 
 
-def train(spark: SparkSession, precision: float = 0.97) -> Trees:
-    """Fit on generated examples, whose features the main path's own expressions compute; a third of them
-    calibrates the probability and each kind's threshold, the least that keeps `precision` on that third.
+def train(spark: SparkSession, docs: DataFrame | None = None, text_col: str = "text", precision: float = 0.97, rows: int = 20_000, most: int = 200, examples: int = 2400) -> Trees:
+    """Fit on `examples` proposals in surroundings of the documents' own base spans (see document_windows for the bounds
+    `rows` and `most`), whose features the main path's own expressions compute; without documents, in invented words. A
+    third of them calibrates the probability and each kind's threshold, the least that keeps `precision` on that third.
     """
-    if "trees" in _trained:
-        return _trained["trees"]
-    rows = _examples()
-    df = spark.createDataFrame([(i, t, k, y) for i, (t, k, y) in enumerate(rows)], "i int, text string, k int, y int")
-    found = proposals(df, "text").select("i", "k", "y", F.explode(P + "proposed").alias("s")).filter("s.kind = k").orderBy("i", "s.start").collect()
+    windows = document_windows(docs, text_col, rows, most) if docs is not None else {}
+    made = _examples(windows, examples)
+    key = (precision, hash(tuple(made)))
+    if key in _trained:
+        return _trained[key]
+    df = spark.createDataFrame([(i, t, at, k, y) for i, (t, at, k, y) in enumerate(made)], "i int, text string, at int, k int, y int")
+    found = proposals(df, "text").select("i", "at", "k", "y", F.explode(P + "proposed").alias("s")).filter("s.kind = k AND s.start >= at - 1 AND s.start <= at + 2").orderBy("i", "s.start").collect()
     x = np.array([[r["s"][f] for f in FEATURES] for r in found], np.int64)
     y, fold = np.array([r["y"] for r in found], np.float64), np.array([r["i"] for r in found]) // 4 % 3
     model = boost(x[fold > 0], y[fold > 0])
@@ -277,34 +316,72 @@ def train(spark: SparkSession, precision: float = 0.97) -> Trees:
         good = [c for c in np.unique(p) if w[p >= c].mean() >= precision]
         cuts.append(round(max(float(min(good)) - 1e-9, 0.5), 9) if good else 1.1)
     model.thresholds = tuple(cuts)
-    _trained["trees"] = model
+    if len(_trained) > 16:
+        _trained.clear()
+    _trained[key] = model
     return model
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
-    """A row per document: id_col, n_email, n_ip, n_card, n_phone (base spans), base (spans by kind, then start) and all_spans
-    (with what the trees add): arrays of (kind, start, end), in code points, end exclusive.
+def _running_max(values: Column) -> Column:
+    """The greatest value before each element (0 before the first), in blocks as _prefix."""
+    run = lambda a, first: F.aggregate(a, F.array(first), lambda acc, x: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), x))))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(values) - 1) / 512).cast("int"))), lambda b: F.slice(values, b * 512 + 1, 512))
+    ahead = F.slice(run(F.transform(blocks, lambda a: F.array_max(a)), F.lit(0)), 1, F.size(blocks))
+    return F.flatten(F.zip_with(blocks, ahead, lambda block, first: F.slice(run(block, first), 1, F.size(block))))
+
+
+def _clusters(spans: Column) -> Column:
+    """Spans in order of their starts, cut where one starts at or after all ends before it: array of arrays."""
+    opens = F.zip_with(_running_max(F.transform(spans, lambda s: s["end"])), spans, lambda top, s: s["start"] >= top)
+    at = F.filter(F.transform(opens, lambda o, i: F.when(o, i)), lambda i: i.isNotNull())
+    until = F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(spans)))
+    return F.filter(F.zip_with(at, until, lambda i, j: F.slice(spans, i + 1, j - i)), lambda run: run.isNotNull())
+
+
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None, redact: bool = False) -> DataFrame:
+    """A row per document: id_col, n_email, n_ip, n_card, n_phone (base spans), base (spans by kind, then start), all_spans
+    (with what the trees add): arrays of (kind, start, end), in code points, end exclusive, and secrets (start, end). With
+    `redact`, redacted too: the text with what any span covers replaced by the kind's name in brackets.
 
-    An added span overlaps no base span and no added one of higher probability. Null text counts as empty.
-    Rows that repeat are judged one by one. Everything is a column expression: no shuffle, no Python.
+    An added span overlaps no base span and no added one of higher probability. Null text counts as empty, an empty
+    text has no spans. Rows that repeat are judged one by one; ties of probability go to the earlier start, then to the
+    kind listed first. Spans are compared only within runs that overlap each other, so a very long text with very many
+    costs little more than its length. An empty table gives an empty result; columns other than id and text are
+    ignored, whatever their names. Everything is a column expression: no shuffle, no Python.
     """
-    model = model or train(docs.sparkSession)
+    model = model or train(docs.sparkSession, docs, text_col)
     df = docs.select(F.col(id_col).alias(P + "id"), text_of(text_col).alias(P + "text"))
     df = proposals(base_spans(df, P + "text"), P + "text")
-    named = lambda kind: F.transform(P + kind, lambda s: F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    df = df.withColumn(P + "base", F.concat(*[named(k) for k in KINDS]))
-    cut = lambda s: F.element_at(F.array(*[F.lit(float(c)) for c in model.thresholds]), s["kind"] + 1)
-    clear = lambda s: ~F.exists(P + "base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rated = F.transform(F.filter(P + "proposed", clear), lambda s: F.struct(model.column(s).alias("p"), (-s["start"]).alias("first"), s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    df = df.withColumn(P + "rated", F.filter(rated, lambda s: s["p"] >= cut(s)))
-    # By falling probability, then start, then kind; each is taken if none of those taken before overlaps it.
-    ranked = F.transform(F.sort_array(F.transform(P + "rated", lambda s: F.struct(s["p"], s["first"], (-s["kind"]).alias("rank"), s["kind"], s["start"], s["end"])), asc=False), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    taken = lambda acc, s: F.when(F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(s)))
-    added = F.aggregate(ranked, F.filter(ranked, lambda s: F.lit(False)), taken)
+    df = _spans(df, P + "text", P + "secret", SECRET, F.lower(P + "text").rlike("token|secret|passw|key"))
+    span = lambda s, kind, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), p.alias("p"))
+    based = lambda n, k: F.transform(P + k, lambda s: span(s, F.lit(n), F.lit(2.0)))
+    df = df.withColumn(P + "base", F.concat(*[based(n, k) for n, k in enumerate(KINDS)]))
+    cut = lambda kind: F.element_at(F.array(*[F.lit(float(c)) for c in model.thresholds]), kind + 1)
+    df = df.withColumn(P + "rated", F.filter(F.transform(P + "proposed", lambda s: span(s, s["kind"], model.column(s))), lambda s: s["p"] >= cut(s["kind"])))
+    df = df.withColumn(P + "together", F.array_sort(F.concat(P + "base", P + "rated")))
+    # In a run of overlapping spans: by falling probability, base ones first; each is taken if none taken before overlaps it.
+    meets = lambda acc, s: F.exists(acc, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
+    taken = lambda acc, s: F.when((s["p"] < 2) & meets(acc, s), acc).otherwise(F.concat(acc, F.array(s)))
+    ranked = lambda run: F.transform(F.array_sort(F.transform(run, lambda s: F.struct((-s["p"]).alias("p"), s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), (-s["p"]).alias("p")))
+    chosen = F.flatten(F.transform(_clusters(F.col(P + "together")), lambda run: F.when(F.size(run) == 1, run).otherwise(F.aggregate(ranked(run), F.filter(run, lambda s: F.lit(False)), taken))))
+    df = df.withColumn(P + "all", F.when(F.size(P + "rated") > 0, chosen).otherwise(F.col(P + "base")))
+    by_kind = lambda a: F.array_sort(F.transform(a, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
     name = lambda a: F.transform(a, lambda s: F.struct(F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    secrets = F.transform(P + "secret", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    more = []
+    if redact:
+        # Runs of overlapping spans become one piece each, named after the first.
+        hidden = F.transform(P + "secret", lambda s: span(s, F.lit(len(KINDS)), F.lit(2.0)))
+        df = df.withColumn(P + "runs", F.transform(_clusters(F.array_sort(F.concat(P + "all", hidden))), lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(F.transform(run, lambda s: s["end"])).alias("end"), run[0]["kind"].alias("kind"))))
+        runs, text = F.col(P + "runs"), F.col(P + "text")
+        from_ = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+        to = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.length(text)))
+        plain = F.zip_with(from_, to, lambda i, j: F.substring(text, i + 1, j - i))
+        label = F.transform(runs, lambda r: F.concat(F.lit("["), F.element_at(F.array(*[F.lit(k.upper()) for k in (*KINDS, "secret")]), r["kind"] + 1), F.lit("]")))
+        more.append(F.when(F.size(runs) == 0, text).otherwise(F.array_join(F.zip_with(plain, F.concat(label, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")).alias("redacted"))
     return df.select(
         F.col(P + "id").alias(id_col), *[F.size(P + k).cast("long").alias("n_" + k) for k in KINDS],
-        name(F.col(P + "base")).alias("base"), name(F.array_sort(F.concat(P + "base", added))).alias("all_spans"),
+        name(by_kind(F.col(P + "base"))).alias("base"), name(by_kind(F.col(P + "all"))).alias("all_spans"), secrets.alias("secrets"), *more,
     )
 
 

@@ -53,7 +53,9 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_documents(spark, sf_dir))
-    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all_spans").alias("spans"))
+    secrets = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    found = (F.size("all_spans") + F.size("secrets")).cast("long").alias("n_found")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("all_spans").alias("spans"), secrets.alias("secrets"), found)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
