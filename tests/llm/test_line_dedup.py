@@ -3,6 +3,35 @@ import random
 from lumenflow.llm import line_dedup as D
 
 
+def all_pairs(texts, least=D.MIN_CHARS):
+    """Of every document, the lines in runs of `least` characters that any earlier document has too."""
+    runs, lost = {}, {}
+    for i in sorted(texts):
+        lines = [x.strip(" ") for x in texts[i].split("\n")]
+        lost[i], own = set(), []
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(lines[b])
+                if n >= least:
+                    # The shortest run from a on; the shortest one up to b is found from another a.
+                    own.append((a, b))
+                    break
+        for b in range(len(lines)):
+            n = 0
+            for a in range(b, -1, -1):
+                n += len(lines[a])
+                if n >= least:
+                    own.append((a, b))
+                    break
+        for a, b in own:
+            if runs.get(tuple(lines[a : b + 1]), i) < i:
+                lost[i] |= set(range(a, b + 1))
+        for a, b in own:
+            runs.setdefault(tuple(lines[a : b + 1]), i)
+    return lost
+
+
 def test_patience_pairs_are_common_and_rising():
     rng = random.Random(1)
     for _ in range(300):
@@ -31,6 +60,8 @@ def test_every_deleted_line_stands_earlier_and_no_line_is_lost(docs, texts):
             assert first[x.strip(" ")] < i
     assert gone > 100
     assert {x for x in first if len(x) >= D.MIN_CHARS} <= kept
+    brute = all_pairs(texts)
+    assert {i: out[i]["n_deleted"] for i in texts} == {i: len(x) for i, x in brute.items()}
 
 
 def test_block_goes_from_the_later_document(spark):
@@ -61,7 +92,7 @@ def test_nothing_stays_that_aligns_with_any_earlier_document(spark):
     for i, d in docs.items():
         lost = set()
         for j in range(i):
-            lost |= set(D.common_blocks(D.patience([code[x] for x in d], [code[x] for x in docs[j]]), [len(x) >= D.MIN_CHARS for x in d]))
+            lost |= set(D.common_blocks(D.patience([code[x] for x in d], [code[x] for x in docs[j]]), [len(x) for x in d]))
         left = [x for k, x in enumerate(d) if k not in lost]
         rest = iter(left)
         assert got[i] == [""] or all(x in rest for x in got[i])
@@ -74,3 +105,17 @@ def test_first_holder_with_the_line_twice_or_in_another_order(spark):
     rows = [(1, f"{a}\nz\n{b}\n{a}\ny\n{c}"), (2, f"{c}\nx\n{a}\nown line of the second document\n{b}"), (3, f"{b}\nt"), (4, f"u\n{b}\nt\nv")]
     got = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "x\nown line of the second document", 3: "t", 4: "u\nv"}
+
+
+def test_short_lines_go_as_blocks_and_any_earlier_holder_counts(spark):
+    y, m, x = (f"line {c} is long enough to tell" for c in "YMX")
+    rows = [(1, f"{y}\n{m}\n{x}"), (2, f"{x}\n{y}\nown two of the second one"), (3, f"{x}\n{y}\nown three of the third"), (4, "so\nmany\nvery short lines\nhere"), (5, "some\nso\nmany\nvery short lines\nelse"), (6, "so\nmany")]
+    got = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "own two of the second one", 3: "own three of the third", 4: rows[3][1], 5: "some\nelse", 6: "so\nmany"}
+
+
+def test_a_line_that_all_documents_have(spark, monkeypatch):
+    monkeypatch.setattr(D, "TOGETHER", 10)
+    rows = [(i, f"one line that every document of them has\n{i}") for i in range(200)]
+    got = {r["doc_id"]: r["text"] for r in D.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: rows[0][1] if i == 0 else str(i) for i in range(200)}
