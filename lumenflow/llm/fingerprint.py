@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import P, _mix, text_of, word_hashes, written
+from ..shipping import ship
+from .common import P, _mix, text_of, words_by_row, written
 
 SAMPLES = 128
 _seeds: dict[int, tuple] = {}
@@ -33,8 +34,12 @@ def _unit(bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, block: int = 256) -> np.ndarray:
-    """16 bits for each sample of a weighted set of 64-bit terms; zeros for the empty set.
+#: By sample: the least ln a, 16 bits of the term and level that have it, whether its weight is more than 1, and the term.
+Least = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def least_terms(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, block: int = 256) -> Least:
+    """For each sample the least of a weighted set of 64-bit terms in rising order; of equal ones that of weight 1, then the first.
 
     With r, c from Gamma(2, 1) and u uniform, a term of weight w has t = floor(ln w / r + u) and
     ln a = ln c - r (t - u + 1); the sample is the term of least a, together with t. The variates are those of the
@@ -42,6 +47,7 @@ def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bl
     so r = e + f, a = c exp(-e) exp(-r t) and t = floor((ln w + f) / r), which is 0 for weight 1.
     """
     out, least = np.zeros(samples, np.uint16), np.full(samples, np.inf, np.float32)
+    heavy, won = np.ones(samples, bool), np.zeros(samples, np.uint64)
     mul, add = _seed(samples)
     row = np.arange(samples)
     for ones in (True, False):
@@ -78,13 +84,30 @@ def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bl
                 with np.errstate(over="ignore"):
                     code = (own[i + b] ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
                 out[k] = (code >> np.uint64(48)).astype(np.uint16)
-                least[k] = found[better]
-    return out
+                least[k], heavy[k], won[k] = found[better], not ones, own[i + b]
+    return least, out, heavy, won
+
+
+def together(a: Least, b: Least) -> np.ndarray:
+    """The signature of two sets without a common term, as one; zeros for the empty set."""
+    first = (b[2] < a[2]) | (b[2] == a[2]) & (b[3] < a[3])
+    return np.where((b[0] < a[0]) | (b[0] == a[0]) & np.isfinite(b[0]) & first, b[1], a[1])
+
+
+def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """16 bits for each sample of a weighted set of terms; zeros for the empty set."""
+    return least_terms(terms, weights, samples)[1]
+
 
+Terms = tuple[np.ndarray, np.ndarray]
 
-def weighted_terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbouring words with the number of their occurrences; a lone word stands for itself."""
-    words = word_hashes(np.frombuffer(text, np.uint8))[1]
+
+def weighted_terms(text: bytes, piece: int = 1 << 20) -> Terms:
+    """Pairs of neighbouring words with the number of their occurrences; a lone word stands for itself. Words are hashed in
+    pieces of a text; of a whole one only the hashes are held.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    words = np.concatenate([np.zeros(0, np.uint64), *[found for _, found, _ in words_by_row(raw, np.array([0, len(raw)]), piece)]])
     if len(words) > 1:
         with np.errstate(over="ignore"):
             words = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + (words[1:] ^ (words[1:] >> np.uint64(31)))
@@ -92,6 +115,16 @@ def weighted_terms(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(words, return_counts=True)
 
 
+def two_signatures(a: Terms, b: Terms) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of two weighted sets; terms that both have with one weight are drawn once."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    same = a[1][i] == b[1][j]
+    i, j = i[same], j[same]
+    common = least_terms(a[0][i], a[1][i])
+    rest = [least_terms(np.delete(x[0], k), np.delete(x[1], k)) for x, k in ((a, i), (b, j))]
+    return together(common, rest[0]), together(common, rest[1])
+
+
 def fingerprint(text: str) -> np.ndarray:
     return signature(*weighted_terms(text.encode()))
 
@@ -106,7 +139,11 @@ def as_text(sign: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and fingerprint of every document, in one pass. Null text counts as empty."""
+    """id_col and fingerprint of every document, in one pass. Null text counts as empty, whose fingerprint is zeros; rows
+    that repeat have one fingerprint; a very long text holds its word hashes in memory; an empty table gives an empty
+    result; other columns are ignored.
+    """
+    ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,24 +157,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 _FIELDS = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _judged(text: str, following: str, own: np.ndarray, other: np.ndarray) -> tuple:
+def _judged(text: str, following: str, own: Terms) -> tuple:
+    """Length, digest of the edited text, signature, the edited text's signature and their likeness."""
     cut = len(text) // 4
-    edited = text[: len(text) - cut] + following[:cut]
-    sign = fingerprint(edited)
-    return len(text), hashlib.sha256(edited.encode()).digest(), own.astype(">u2").tobytes(), sign.astype(">u2").tobytes(), likeness(own, sign), likeness(own, other)
+    edited = (text[: len(text) - cut] + following[:cut]).encode()
+    mine, sign = two_signatures(own, weighted_terms(edited))
+    return len(text), hashlib.sha256(edited).digest(), mine, sign.astype(">u2").tobytes(), likeness(mine, sign)
+
+
+def _fields(judged: tuple, following: np.ndarray) -> tuple:
+    n, digest, mine, sign, near = judged
+    return n, digest, mine.astype(">u2").tobytes(), sign, near, likeness(mine, following)
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's fingerprint beside that of its edited text and that of the next document.
 
-    The order is by id (null first), then text; it is made by a range partitioning, in which each
-    task walks over its rows. A task's last row needs the next task's first: both carry their text into a
-    second step, which has one row for each task. Null text counts as empty; rows that repeat follow each other.
+    The order is by id (null first), then a hash of the text; it is made by a range partitioning that splits rows of one
+    id and text too, in which each task walks over its rows. A task's last row needs the next task's first: both carry
+    their text into a second step, which has one row for each task. Null text counts as empty; rows that repeat follow
+    each other. Very long texts are hashed in pieces. An empty table gives an empty result; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType
     id_kind = kind.simpleString()
-    rows = docs.select(F.col(id_col).alias(P + "id"), text_of(text_col).alias(P + "text"))
-    placed = rows.repartitionByRange(P + "id").sortWithinPartitions(P + "id", P + "text").select("*", F.spark_partition_id().cast("long").alias(P + "part"))
+    order = [P + "id", P + "key", P + "rid"]
+    rows = docs.select(F.col(id_col).alias(P + "id"), text_of(text_col).alias(P + "text")).withColumns({P + "key": F.xxhash64(P + "text"), P + "rid": F.monotonically_increasing_id()})
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(P + "id", P + "text", F.spark_partition_id().cast("long").alias(P + "part"))
     names = [P + "id", *[x.split()[0] for x in _FIELDS.split(", ")], P + "part", P + "place", P + "text"]
 
     def batch(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
@@ -145,21 +190,27 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, out, id_type = None, [], None
+        held, judged, out, id_type = None, None, [], None
         for b in batches:
             id_type = b.column(0).type
             for me, text, part in zip(*b.columns, strict=True):
                 me, text, part = me.as_py(), text.as_py(), part.as_py()
-                sign = fingerprint(text)
+                terms = weighted_terms(text.encode())
                 if held is None:
                     out.append((me, None, None, None, None, None, None, part, "first", text))
                 else:
-                    out.append((held[0], *_judged(held[1], text, held[2], sign), part, None, None))
-                held = me, text, sign, part
+                    # A document's signature comes with its edited text's, which needs the next document.
+                    now = _judged(held[1], text, held[2])
+                    if judged is not None:
+                        out.append((judged[0], *_fields(judged[1], now[2]), part, None, None))
+                    judged = held[0], now
+                held = me, text, terms, part
                 if len(out) >= 1000:
                     yield batch(out, id_type)
                     out = []
         if held is not None:
+            if judged is not None:
+                out.append((judged[0], *_fields(judged[1], signature(*held[2])), held[3], None, None))
             out.append((held[0], None, None, None, None, None, None, held[3], "last", held[1]))
             yield batch(out, id_type)
 
@@ -172,7 +223,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(me.as_py(), *_judged(t.as_py(), f.as_py(), fingerprint(t.as_py()), fingerprint(f.as_py())), None, None, None) for me, t, f in zip(*b.columns, strict=True)]
+            out = [(me.as_py(), *_fields(_judged(t.as_py(), f.as_py(), weighted_terms(t.as_py().encode())), fingerprint(f.as_py())), None, None, None) for me, t, f in zip(*b.columns, strict=True)]
             if out:
                 yield batch(out, b.column(0).type).select(names[:-3])
 

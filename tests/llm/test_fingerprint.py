@@ -49,6 +49,28 @@ def test_awkward_rows(spark, awkward, nothing):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1
 
 
+def test_signatures_do_not_depend_on_how_sets_are_split(texts):
+    some = [P.weighted_terms(t.encode()) for t in list(texts.values())[:60]]
+    for a, b in zip(some, some[1:], strict=False):
+        for x, y in zip(P.two_signatures(a, b), (P.signature(*a), P.signature(*b)), strict=True):
+            assert np.array_equal(x, y)
+    # Equal values: the term that comes first in the whole set wins, whichever part it is in.
+    tie = lambda term, code: (np.zeros(1, np.float32), np.array([code], np.uint16), np.array([False]), np.array([term], np.uint64))
+    assert P.together(tie(1, 5), tie(2, 6))[0] == P.together(tie(2, 6), tie(1, 5))[0] == 5
+
+
+def test_long_texts_are_hashed_in_pieces():
+    text = " ".join(f"w{i % 5003}" for i in range(40_000)).encode()
+    for got, want in zip(P.weighted_terms(text, 1000), P.weighted_terms(text, 1 << 30), strict=True):
+        assert np.array_equal(got, want)
+
+
+def test_rows_of_one_id_and_text(spark):
+    rows = [(None, "a b c d")] * 30 + [(1, "e f g h")] * 30
+    got = P.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and {r["near_next"] for r in got} == {0.0, 1.0} and sum(r["near_next"] == 0 for r in got) == 2
+
+
 def test_likeness_of_texts_with_several_hundred_thousand_pairs():
     rng = np.random.default_rng(9)
     error = []
