@@ -1,7 +1,8 @@
 import re
 
 import corpus_pipeline
-from lumenflow.llm import line_dedup, mixing
+from lumenflow.llm import mixing
+from lumenflow.llm.common import scratch_tables
 from tests.llm.test_near_dedup import classes
 
 
@@ -29,10 +30,30 @@ def test_stages_take_effect_in_order(spark, docs, texts):
         else:
             assert sum(r["start"] == 0 for r in after) == before
     assert seen == ["language ID", "line dedup", "MinHash near-dedup", "mixing", "packing"]
-    assert line_dedup.MIN_CHARS == 20
 
 
-def test_awkward_documents(spark, awkward, nothing, tmp_path):
-    for k, df in enumerate((awkward.select("doc_id", "text", "lang", "source", "n_chars"), nothing.select("doc_id", "text", "lang", "source", "n_chars"))):
+def test_awkward_documents_keep_their_own_columns(spark, awkward, nothing, tmp_path):
+    """Columns named like what operators add are handed on with their values, to the last stage."""
+    before = {}
+    for r in awkward.collect():
+        before.setdefault((r["doc_id"], r["text"]), set()).add(tuple(r.asDict().items()))
+    at = awkward
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = spark.createDataFrame(stage(spark, at, str(tmp_path)).toArrow(), awkward.schema)
+        assert at.columns == awkward.columns
+        for r in at.collect():
+            own = {k: v for k, v in r.asDict().items() if k not in ("text", "n_chars")}
+            assert any(own.items() <= dict(x).items() for (i, _), rows in before.items() if i == r["doc_id"] for x in rows), name
+        assert at.count() > 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
+    assert sum(r["start"] == 0 for r in packed) == at.count()
+    for k, df in enumerate((awkward, nothing)):
         df.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path / str(k))).count() >= 0
+        got = corpus_pipeline.run(spark, str(tmp_path / str(k))).collect()
+        assert sum(r["start"] == 0 for r in got) == (at.count() if k == 0 else 0)
+
+
+def test_what_stages_leave_behind_is_deleted(spark):
+    before = set(scratch_tables())
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert len(set(scratch_tables()) - before) == 1
