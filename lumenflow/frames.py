@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import settled
+from .shipping import ship
+
 SCHEMA = "frame_id long, width int, height int, channels int, format string, timestamp_us long, source_id string, data binary"
 KINDS = {"Mono16": np.dtype("<u2"), "Float32": np.dtype("<f4")}
 
@@ -37,6 +40,7 @@ def map_images(frames: DataFrame, *steps: Callable[[np.ndarray], np.ndarray]) ->
 
     Rows whose data is null stay null. A frame's memory is bounded by its own size.
     """
+    ship(frames.sparkSession)
     schema = frames.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +58,7 @@ def map_images(frames: DataFrame, *steps: Callable[[np.ndarray], np.ndarray]) ->
 
 def measure_images(frames: DataFrame, step: Callable[[np.ndarray], dict | list[dict]], fields: str) -> DataFrame:
     """A row per frame (or per item that `step` lists) with frame_id and `fields`."""
+    ship(frames.sparkSession)
     names = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,6 +80,7 @@ def _typed(values: list, kind: str) -> pa.Array:
 
 def pair_images(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Frames of `a` joined with those of `b` by frame_id. Frames of different sizes give none."""
+    ship(a.sparkSession)
     other = b.select("frame_id", F.struct("width", "height", "channels", "format", "data").alias("other"))
     joined = a.join(other, "frame_id").filter((F.col("width") == F.col("other.width")) & (F.col("height") == F.col("other.height")) & (F.col("channels") == F.col("other.channels")))
     schema = a.schema
@@ -106,12 +112,29 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 
 
 def from_pixels(pixels: DataFrame) -> DataFrame:
-    """Frames from a complete table of 8-bit pixels; one frame's samples meet in one task."""
-    order = F.sort_array(F.collect_list(F.struct("y", "x", "c", F.col("v").cast("int").alias("v"))))
-    rows = pixels.groupBy("frame_id").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"), (F.max("c") + 1).cast("int").alias("channels"), order.alias("p"))
-    data = F.unhex(F.array_join(F.transform("p", lambda s: F.lpad(F.hex(s["v"]), 2, "0")), ""))
+    """Frames from a complete table of 8-bit pixels (frame_id, y, x, c, v): each row of a frame is put together where its
+    samples meet, then the rows where the frame's meet, as bytes.
+    """
+    ship(pixels.sparkSession)
+    line = F.transform(F.sort_array(F.collect_list(F.struct("x", "c", F.col("v").cast("short").alias("v")))), lambda s: s["v"])
+    lines = pixels.groupBy("frame_id", "y").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("c") + 1).cast("int").alias("channels"), line.alias("line"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.asarray(v.values).astype(np.uint8).tobytes() for v in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(data, pa.binary())], names=[*b.schema.names[:4], "line"])
+
+    lines = lines.select(F.col("frame_id").cast("long"), F.col("y").cast("int").alias("y"), "width", "channels", "line").mapInArrow(packed, "frame_id long, y int, width int, channels int, line binary")
+    rows = lines.groupBy("frame_id").agg(F.max("width").alias("width"), (F.max("y") + 1).cast("int").alias("height"), F.max("channels").alias("channels"), F.sort_array(F.collect_list(F.struct("y", "line"))).alias("p"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [b"".join(x["line"] for x in v.as_py()) for v in b.column(4)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(data, pa.binary())], names=[*b.schema.names[:4], "data"])
+
+    rows = rows.mapInArrow(joined, "frame_id long, width int, height int, channels int, data binary")
     kind = F.when(F.col("channels") == 1, "Mono8").when(F.col("channels") == 3, "RGB8").otherwise("RGBA8")
-    return rows.select("frame_id", "width", "height", "channels", kind.alias("format"), F.lit(0).cast("long").alias("timestamp_us"), F.lit("").alias("source_id"), data.alias("data"))
+    return rows.select("frame_id", "width", "height", "channels", kind.alias("format"), F.lit(0).cast("long").alias("timestamp_us"), F.lit("").alias("source_id"), F.col("data"))
 
 
 def gradient_frames(spark: SparkSession, count: int, width: int, height: int) -> DataFrame:
@@ -128,12 +151,30 @@ def gradient_frames(spark: SparkSession, count: int, width: int, height: int) ->
     return ids.mapInArrow(ramp, SCHEMA)
 
 
+#: Bytes of templates that are broadcast at a time.
+PART_BYTES = 64 << 20
+
+
+def _against_all(a: DataFrame, other: DataFrame) -> DataFrame:
+    """Each row of `a` beside each of `other`, whose size is known once it is written: one pass over `a` for every part."""
+    other = settled(other, "templates")
+    size = other.agg(F.sum(F.length("other.data"))).first()[0] or 0
+    parts = -(-size // PART_BYTES) or 1
+    out = None
+    for k in range(parts):
+        part = other if parts == 1 else other.filter(F.pmod(F.xxhash64("other_id"), F.lit(parts)) == k)
+        each = a.join(F.broadcast(part), F.lit(True))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 def measure_pairs(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.ndarray], dict | list[dict]], fields: str, every: bool = False) -> DataFrame:
     """A row for each item that `step` gives for frames of equal id; with `every`, for all frames of `a` against each of
-    the few of `b` (templates), whose size the optimizer checks before it broadcasts them.
+    `b` (templates), which are written, measured and broadcast in parts of at most PART_BYTES.
     """
+    ship(a.sparkSession)
     other = b.select(F.col("frame_id").alias("other_id"), F.struct("width", "height", "channels", "format", "data").alias("other"))
-    joined = a.crossJoin(other) if every else a.join(other, F.col("frame_id") == F.col("other_id"))
+    joined = _against_all(a, other) if every else a.join(other, F.col("frame_id") == F.col("other_id"))
     names, kinds = zip(*[f.split() for f in fields.split(", ")], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +194,7 @@ def measure_pairs(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.nda
 def zip_images(inputs: list[DataFrame], step: Callable[..., np.ndarray]) -> DataFrame:
     """`step` of the frames of equal id of all inputs; a frame that one of them lacks gives none. The first one's other columns stay."""
     first = inputs[0]
+    ship(first.sparkSession)
     joined = first
     for k, df in enumerate(inputs[1:]):
         joined = joined.join(df.select("frame_id", F.struct("width", "height", "channels", "format", "data").alias(f"__other{k}")), "frame_id")

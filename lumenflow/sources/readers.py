@@ -13,9 +13,11 @@ from ..frames import SCHEMA
 
 
 def raw_frames(spark: SparkSession, path: str, width: int, height: int, channels: int = 1, format: str = "Mono8") -> DataFrame:
-    """A frame per file of plain samples; files of another length are left out. Ids follow a hash of the path."""
+    """A frame per file of plain samples; a file of another length is an error. Ids follow a hash of the path."""
     size = width * height * channels * {"Mono16": 2, "Float32": 4}.get(format, 1)
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") == size)
+    files = spark.read.format("binaryFile").load(path)
+    wrong = F.raise_error(F.concat(F.col("path"), F.lit(f" has not {size} bytes but "), F.col("length")))
+    files = files.withColumn("content", F.when(F.col("length") == size, F.col("content")).otherwise(wrong.cast("binary")))
     return files.select(F.xxhash64("path").alias("frame_id"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(channels).alias("channels"), F.lit(format).alias("format"), F.expr("unix_micros(modificationTime)").alias("timestamp_us"), F.col("path").alias("source_id"), F.col("content").alias("data"))
 
 
@@ -27,7 +29,7 @@ def decoded_frames(spark: SparkSession, path: str, decode: Callable[[bytes], np.
             for p, t, content in zip(b["path"], b["t"], b["content"], strict=True):
                 image = np.atleast_3d(decode(content)).astype(np.uint8)
                 h, w, c = image.shape
-                yield pd.DataFrame([[abs(hash(p)) % (1 << 62), w, h, c, {1: "Mono8", 3: "RGB8"}.get(c, "RGBA8"), t, p, image.tobytes()]], columns=[x.split()[0] for x in SCHEMA.split(", ")])
+                yield pd.DataFrame([[0, w, h, c, {1: "Mono8", 3: "RGB8"}.get(c, "RGBA8"), t, p, image.tobytes()]], columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
     files = spark.read.format("binaryFile").load(path).select("path", F.expr("unix_micros(modificationTime)").alias("t"), "content")
     return files.mapInPandas(run, SCHEMA).withColumn("frame_id", F.xxhash64("source_id"))
