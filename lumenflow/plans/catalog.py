@@ -54,17 +54,18 @@ def _geometry(type_id: str) -> None:
     add(f"geo_{type_id}", query, geometry.sql(type_id, source, "p_partkey"), " ".join(o for o in outs if o not in flags))
 
 
-# --- frames: 25 of 24 x 16, from the nations
+# --- frames of 24 x 16 for every supplier: their number grows with the table, and what they show depends on its rows
 
 
 W, H = 24, 16
-V1 = "((x * 7 + y * 13 + n_nationkey * 31 + x * y * 3) % 256)"
-V2 = "((x * 11 + y * 5 + n_nationkey * 17 + 40) % 256)"
+SHIFT = "CAST(floor(abs(s_acctbal)) AS BIGINT)"
+V1 = f"((x * 7 + y * 13 + s_suppkey * 31 + x * y * 3 + {SHIFT}) % 256)"
+V2 = f"((x * 11 + y * 5 + s_suppkey * 17 + 40 + {SHIFT} * 3) % 256)"
 
 
 def pixels(s: SparkSession, d: str, v: str) -> DataFrame:
     grid = s.range(W * H).selectExpr(f"cast(id % {W} as int) AS x", f"cast(id div {W} as int) AS y")
-    return table(s, d, "nation").crossJoin(F.broadcast(grid)).selectExpr("cast(n_nationkey as long) AS frame_id", "y", "x", "0 AS c", f"cast({v} as int) AS v")
+    return table(s, d, "supplier").crossJoin(F.broadcast(grid)).selectExpr("cast(s_suppkey as long) AS frame_id", "y", "x", "0 AS c", f"cast({v} as int) AS v")
 
 
 def frames(s: SparkSession, d: str, v: str = V1) -> DataFrame:
@@ -72,7 +73,7 @@ def frames(s: SparkSession, d: str, v: str = V1) -> DataFrame:
 
 
 def _px(name: str, v: str) -> str:
-    return f"{name} AS (SELECT n_nationkey::BIGINT AS frame_id, y::INT AS y, x::INT AS x, {v}::INT AS v FROM nation, (SELECT unnest(range({W})) AS x) xs, (SELECT unnest(range({H})) AS y) ys)"
+    return f"{name} AS (SELECT s_suppkey::BIGINT AS frame_id, y::INT AS y, x::INT AS x, {v}::INT AS v FROM supplier, (SELECT unnest(range({W})) AS x) xs, (SELECT unnest(range({H})) AS y) ys)"
 
 
 def _clamped(e: str) -> str:
@@ -358,6 +359,9 @@ def build() -> None:
         _tables()
         _products()
         _surfaces()
+        from . import catalog_more
+
+        catalog_more.build()
 
 
 def queries() -> dict[str, Query]:
