@@ -155,7 +155,7 @@ def gradient_frames(spark: SparkSession, count: int, width: int, height: int) ->
 PART_BYTES = 64 << 20
 
 
-def _against_all(a: DataFrame, other: DataFrame) -> DataFrame:
+def against_all(a: DataFrame, other: DataFrame) -> DataFrame:
     """Each row of `a` beside each of `other`, whose size is known once it is written: one pass over `a` for every part."""
     other = settled(other, "templates")
     size = other.agg(F.sum(F.length("other.data"))).first()[0] or 0
@@ -174,7 +174,7 @@ def measure_pairs(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.nda
     """
     ship(a.sparkSession)
     other = b.select(F.col("frame_id").alias("other_id"), F.struct("width", "height", "channels", "format", "data").alias("other"))
-    joined = _against_all(a, other) if every else a.join(other, F.col("frame_id") == F.col("other_id"))
+    joined = against_all(a, other) if every else a.join(other, F.col("frame_id") == F.col("other_id"))
     names, kinds = zip(*[f.split() for f in fields.split(", ")], strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

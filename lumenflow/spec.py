@@ -61,4 +61,4 @@ def find(type_id: str) -> Operator:
 
 
 def load() -> None:
-    from .operators import clouds, codes, devices, features, geometry, images, industry, inspect, measures, reconstruct, relational, scene  # noqa: F401
+    from .operators import clouds, codes, devices, features, geometry, images, industry, inspect, measures, models, reconstruct, relational, scene  # noqa: F401
