@@ -26,15 +26,12 @@ def _seed(samples: int) -> tuple[np.ndarray, np.ndarray]:
     return _seeds[samples]
 
 
-def _unit(bits: np.ndarray) -> np.ndarray:
-    """32 bits as a number in (0, 1]."""
-    out = bits.astype(np.float32)
-    out += np.float32(0.5)
-    out *= np.float32(2.0**-32)
-    return out
+def _exponential(bits: np.ndarray, width: int) -> np.ndarray:
+    """An exponential variate from `width` random bits."""
+    return -np.log((bits.astype(np.float64) + 0.5) * 2.0**-width)
 
 
-#: By sample: the least ln a, 16 bits of the term and level that have it, whether its weight is more than 1, and the term.
+#: By sample: the least a, 16 bits of the term and level that have it, whether its weight is more than 1, and the term.
 Least = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -43,48 +40,58 @@ def least_terms(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES,
 
     With r, c from Gamma(2, 1) and u uniform, a term of weight w has t = floor(ln w / r + u) and
     ln a = ln c - r (t - u + 1); the sample is the term of least a, together with t. The variates are those of the
-    term and sample alone, from 128 bits hashed of both: r (1 - u) and r u are independent exponential variates e and f,
-    so r = e + f, a = c exp(-e) exp(-r t) and t = floor((ln w + f) / r), which is 0 for weight 1.
+    term and sample alone, from bits hashed of both: r (1 - u) and r u are independent exponential variates e and f, so
+    r = e + f, a = c exp(-e) exp(-r t) and t = floor((ln w + f) / r), which is 0 for weight 1. There a = c exp(-e) is an
+    exponential variate itself, which one number gives: the greatest hash is the least a. Given a, e is ln(1 + g / a)
+    with g exponential, so that terms of other weights draw g and f beside it.
     """
-    out, least = np.zeros(samples, np.uint16), np.full(samples, np.inf, np.float32)
+    out, least = np.zeros(samples, np.uint16), np.full(samples, np.inf)
     heavy, won = np.ones(samples, bool), np.zeros(samples, np.uint64)
     mul, add = _seed(samples)
     row = np.arange(samples)
-    for ones in (True, False):
-        of = (weights == 1) == ones
-        own, log_w = terms[of], np.log(weights[of]).astype(np.float32)
-        mixed = _mix(own)
-        for i in range(0, len(own), block):
-            with np.errstate(over="ignore"):
-                x = mixed[None, i : i + block] * mul
-                x += add
-                x ^= x >> np.uint64(32)
-                x *= np.uint64(0xD6E8FEB86659FD93)
-                x ^= x >> np.uint64(32)
-                y = x * np.uint64(0xA0761D6478BD642F)
-                y ^= y >> np.uint64(32)
-            x, y = x.view(np.uint32), y.view(np.uint32)
-            value = _unit(x[:, ::2])
-            value *= _unit(x[:, 1::2])
-            np.log(value, out=value)
-            first = _unit(y[:, ::2])
-            value *= first
-            np.negative(value, out=value)
-            if not ones:
-                f = -np.log(_unit(y[:, 1::2]))
-                r = np.maximum(f - np.log(first), np.float32(1e-30))
-                t = np.floor((log_w[None, i : i + block] + f) / r)
-                value *= np.exp(-r * t)
-            best = value.argmin(axis=1)
-            found = value[row, best]
-            better = found < least
-            if better.any():
-                k, b = row[better], best[better]
-                level = np.zeros(len(k), np.int64) if ones else t[k, b].astype(np.int64)
-                with np.errstate(over="ignore"):
-                    code = (own[i + b] ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-                out[k] = (code >> np.uint64(48)).astype(np.uint16)
-                least[k], heavy[k], won[k] = found[better], not ones, own[i + b]
+
+    def hashed(mixed: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            x = mixed[None] * mul
+            x += add
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+        return x
+
+    def take(k: np.ndarray, value: np.ndarray, term: np.ndarray, level: np.ndarray, more: bool) -> None:
+        with np.errstate(over="ignore"):
+            code = (term ^ level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+        out[k], least[k], heavy[k], won[k] = (code >> np.uint64(48)).astype(np.uint16), value, more, term
+
+    one = weights == 1
+    own, mixed = terms[one], _mix(terms[one])
+    top = np.zeros(samples, np.uint64)
+    for i in range(0, len(own), block):
+        x = hashed(mixed[i : i + block])
+        best = x.argmax(axis=1)
+        found = x[row, best]
+        k = np.flatnonzero(found > top) if i else row
+        top[k] = found[k]
+        won[k] = own[i + best[k]]
+    if len(own):
+        take(row, _exponential(top, 64), won.copy(), np.zeros(samples, np.int64), False)
+    own, log_w = terms[~one], np.log(weights[~one])
+    mixed = _mix(own)
+    for i in range(0, len(own), block):
+        x = hashed(mixed[i : i + block])
+        with np.errstate(over="ignore"):
+            y = x * np.uint64(0xA0761D6478BD642F)
+            y ^= y >> np.uint64(32)
+        value, f = _exponential(x, 64), _exponential(y & np.uint64(0xFFFFFFFF), 32)
+        e = np.log1p(_exponential(y >> np.uint64(32), 32) / value)
+        r = np.maximum(e + f, 1e-300)
+        t = np.floor((log_w[None, i : i + block] + f) / r)
+        value *= np.exp(-r * t)
+        best = value.argmin(axis=1)
+        found = value[row, best]
+        k = np.flatnonzero(found < least)
+        if len(k):
+            take(k, found[k], own[i + best[k]], t[k, best[k]].astype(np.int64), True)
     return least, out, heavy, won
 
 

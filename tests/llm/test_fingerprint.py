@@ -23,6 +23,13 @@ def test_collision_rate_is_generalised_jaccard():
     assert abs(np.mean(error)) < 0.015 and np.std(error) < 0.06
 
 
+def test_least_values_are_exponential_variates_of_the_weight():
+    rng = np.random.default_rng(7)
+    for weight in (1, 2, 7, 40):
+        values = np.concatenate([P.least_terms(rng.integers(0, 1 << 63, 1).astype(np.uint64), np.array([weight]))[0] for _ in range(400)])
+        assert abs(values.mean() * weight - 1) < 0.03 and abs(np.median(values) * weight - np.log(2)) < 0.03
+
+
 def test_whole_table(docs, texts):
     got = {r["doc_id"]: r for r in P.edited_fingerprints(docs).collect()}
     ids, error = sorted(texts), []
@@ -55,7 +62,7 @@ def test_signatures_do_not_depend_on_how_sets_are_split(texts):
         for x, y in zip(P.two_signatures(a, b), (P.signature(*a), P.signature(*b)), strict=True):
             assert np.array_equal(x, y)
     # Equal values: the term that comes first in the whole set wins, whichever part it is in.
-    tie = lambda term, code: (np.zeros(1, np.float32), np.array([code], np.uint16), np.array([False]), np.array([term], np.uint64))
+    tie = lambda term, code: (np.zeros(1), np.array([code], np.uint16), np.array([False]), np.array([term], np.uint64))
     assert P.together(tie(1, 5), tie(2, 6))[0] == P.together(tie(2, 6), tie(1, 5))[0] == 5
 
 
