@@ -294,7 +294,7 @@ def _products() -> None:
     m("FoodFreshness", f"{px}, s AS (SELECT frame_id, 0.5 * avg(v) / 255 + 0.5 * greatest(0, 1 - stddev_pop(v) / avg(v)) AS score FROM px GROUP BY 1) SELECT frame_id, score, CASE WHEN score >= 0.6 THEN 'fresh' WHEN score >= 0.3 THEN 'acceptable' ELSE 'stale' END AS level FROM s", "score")
     columns = f"{px}, c AS (SELECT frame_id, x, avg(v) AS m FROM px GROUP BY 1, 2), h AS (SELECT *, m > (min(m) OVER w + max(m) OVER w) / 2 AS high FROM c WINDOW w AS (PARTITION BY frame_id)), e AS (SELECT *, high AND NOT coalesce(lag(high) OVER (PARTITION BY frame_id ORDER BY x), FALSE) AS rise FROM h)"
     m("ThreadCount", f"{columns} SELECT frame_id, count(*) FILTER (rise) AS thread_count, 3::BIGINT AS expected_count, count(*) FILTER (rise) - 3.0 AS deviation, count(*) FILTER (rise) = 3 AS is_correct FROM e GROUP BY 1", "deviation", expected_count=3)
-    m("VialInspect", f"{px}, r AS (SELECT frame_id, y, avg(v) AS m FROM px GROUP BY 1, 2), d AS (SELECT frame_id, y, abs(m - lag(m) OVER (PARTITION BY frame_id ORDER BY y)) AS s FROM r), t AS (SELECT frame_id, y, row_number() OVER (PARTITION BY frame_id ORDER BY s DESC, y) AS k FROM d WHERE s IS NOT NULL) SELECT frame_id, 1 - y / {H}.0::DOUBLE AS liquid_level, 1 - y / {H}.0::DOUBLE >= 0.3 AS is_qualified FROM t WHERE k = 1", "liquid_level")
+    m("VialInspect", f"{px}, r AS (SELECT frame_id, y, avg(v) AS m FROM px GROUP BY 1, 2), d AS (SELECT frame_id, y, abs(m - lag(m) OVER (PARTITION BY frame_id ORDER BY y)) AS s FROM r), t AS (SELECT frame_id, y, row_number() OVER (PARTITION BY frame_id ORDER BY round(s, 9) DESC, y) AS k FROM d WHERE s IS NOT NULL) SELECT frame_id, 1 - y / {H}.0::DOUBLE AS liquid_level, 1 - y / {H}.0::DOUBLE >= 0.3 AS is_qualified FROM t WHERE k = 1", "liquid_level")
     m("TextureAnalysis", f"{px}, n AS (SELECT a.frame_id, a.v // 32 AS i, b.v // 32 AS j, count(*)::DOUBLE / {(W - 1) * H} AS p FROM px a JOIN px b ON a.frame_id = b.frame_id AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1, 2, 3) SELECT frame_id, sum(p * p) AS uniformity, sum(p / (1 + abs(i - j))) AS coarseness, sum(p * (i - j) ** 2) AS contrast, -sum(p * log2(p)) AS entropy FROM n GROUP BY 1", "uniformity coarseness contrast entropy")
     m("SurfaceRoughnessInspection", f"{px}, z AS (SELECT frame_id, x // 5 AS k, v * 0.5::DOUBLE AS z FROM px WHERE y = {H // 2} AND x % 5 = 0), a AS (SELECT frame_id, avg(z) AS m, max(z) - min(z) AS r FROM z GROUP BY 1) SELECT z.frame_id, avg(abs(z - m)) AS ra, 0.0::DOUBLE AS rz, r AS peak_to_valley, avg(abs(z - m)) <= 1.6 AS is_acceptable FROM z JOIN a ON z.frame_id = a.frame_id GROUP BY z.frame_id, r", "ra rz peak_to_valley")
     rows = find("SimpleImageSource")
@@ -359,9 +359,10 @@ def build() -> None:
         _tables()
         _products()
         _surfaces()
-        from . import catalog_more
+        from . import catalog_more, catalog_pieces
 
         catalog_more.build()
+        catalog_pieces.build()
 
 
 def queries() -> dict[str, Query]:
