@@ -431,7 +431,7 @@ def ellipse_measure(points, key):
     return s.select(key, (sx / n).alias("center_x"), (sy / n).alias("center_y"), big.alias("major_axis"), small.alias("minor_axis"), F.degrees(F.atan2(v * 2, u - w) / 2).alias("angle_deg"), (big * small * F.pi()).alias("area"), F.when(big > 0, small / big).otherwise(0.0).alias("ellipticity"))
 
 
-@table_op("PolygonMeasure", "points", "vertex_count area perimeter center_x center_y bounding_width bounding_height circularity rectangularity", "AreaMeasure", "PerimeterMeasure", "CenterMeasure", "RectangleMeasure", "CircleMeasure", key="object_id", order="seq")
+@table_op("PolygonMeasure", "points", "vertex_count area perimeter center_x center_y bounding_width bounding_height circularity rectangularity", key="object_id", order="seq")
 def polygon_measure(points, key, order):
     """Vertices in order of `seq`; the last joins the first."""
     w = Window.partitionBy(key)
@@ -443,6 +443,22 @@ def polygon_measure(points, key, order):
     return s.select("*", F.when(F.col("perimeter") > 0, F.col("area") * 4 * F.pi() / F.col("perimeter") ** 2).otherwise(0.0).alias("circularity"), F.when(box > 0, F.col("area") / box).otherwise(0.0).alias("rectangularity"))
 
 
+def _part(type_id: str, **columns: str) -> None:
+    """Register what one measure of a polygon gives, as expressions over the polygon's measures."""
+
+    def plan(points, key, order):
+        return polygon_measure(points, key, order).select(key, *[F.expr(e).alias(k) for k, e in columns.items()])
+
+    table_op(type_id, "points", " ".join(columns), key="object_id", order="seq")(plan)
+
+
+_part("AreaMeasure", area="area", point_count="vertex_count")
+_part("PerimeterMeasure", perimeter="perimeter", point_count="vertex_count")
+_part("CenterMeasure", center_x="center_x", center_y="center_y", point_count="vertex_count")
+_part("CircleMeasure", circularity="circularity", equivalent_diameter="sqrt(area * 4 / pi())", area="area", perimeter="perimeter", center_x="center_x", center_y="center_y", bounding_radius="sqrt(pow(bounding_width, 2) + pow(bounding_height, 2)) / 2")
+_part("RectangleMeasure", width="bounding_width", height="bounding_height", area="area", rectangularity="rectangularity", aspect_ratio="if(least(bounding_width, bounding_height) > 0, greatest(bounding_width, bounding_height) / least(bounding_width, bounding_height), 0D)", center_x="center_x", center_y="center_y")
+
+
 # --- tables of measured values
 
 

@@ -57,7 +57,7 @@ def shape_scores(image: np.ndarray, model: np.ndarray, turn: float) -> np.ndarra
         y0, y1, x0, x1 = max(0, -dy), min(h, h - dy), max(0, -dx), min(w, w - dx)
         if y0 < y1 and x0 < x1:
             out[y0:y1, x0:x1] += u * gx[y0 + dy : y1 + dy, x0 + dx : x1 + dx] + v * gy[y0 + dy : y1 + dy, x0 + dx : x1 + dx]
-    return out / max(len(model), 1)
+    return np.minimum(out / max(len(model), 1), 1)
 
 
 def _edges(text: str) -> np.ndarray:
@@ -517,7 +517,7 @@ def register_all(clouds, use_pairwise, max_iterations, convergence_threshold):
     target, others = both.filter("cloud_id = first").drop("first"), both.filter("cloud_id <> first").drop("first")
     # The least cloud is copied for each of the others, so that each pair meets in a task of its own; the list of ids is one row.
     ids = others.agg(F.collect_set("cloud_id").alias("ids"))
-    copies = target.select("point_id", "x", "y", "z").join(F.broadcast(ids), F.lit(True)).select(F.explode("ids").alias("cloud_id"), "point_id", "x", "y", "z")
+    copies = target.select("point_id", "x", "y", "z").join(F.broadcast(ids), F.lit(True)).select(F.explode("ids").alias("cloud_id"), *[F.col(c).alias(c) for c in ("point_id", "x", "y", "z")])
     icp = find("PointCloudICP")
     motion = icp.plan(others, copies, **icp.bind({"max_iterations": int(max_iterations), "tolerance": float(convergence_threshold), "max_correspondence_distance": 1e9}))
     turned = lambda k: sum((F.col(f"r{k}{j}") * F.col(b) for j, b in ((2, "y"), (3, "z"))), F.col(f"r{k}1") * F.col("x"))

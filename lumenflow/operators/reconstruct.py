@@ -71,11 +71,15 @@ def _nearest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, gap
 
 
-def _refined(p, q, r, t, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray, float]:
+def _refined(p, q, r, t, rounds: int, tolerance: float, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+    """Nearest points, at most `most` apart, laid on each other until the mean distance stands; with under three it stops."""
     before = np.inf
     for _ in range(rounds):
         at, gap = _nearest(p @ r.T + t, q)
-        r, t = _rigid(p, q[at])
+        near = gap <= most
+        if near.sum() < 3:
+            break
+        r, t = _rigid(p[near], q[at[near]])
         if abs(before - gap.mean()) < tolerance:
             break
         before = gap.mean()
@@ -144,7 +148,7 @@ def by_features(p, q, feature_radius):
 
 
 register_op("PointCloudFeatureMatching", feature_type=0, feature_radius=0.05, sac_iterations=100)(lambda p, q, feature_type, feature_radius, sac_iterations: by_features(p, q, feature_radius))
-register_op("PointCloudICP", method=0, max_iterations=50, tolerance=0.000001, max_correspondence_distance=0.05)(lambda p, q, method, max_iterations, tolerance, max_correspondence_distance: _refined(p, q, np.eye(3), np.zeros(3), int(max_iterations), tolerance))
+register_op("PointCloudICP", method=0, max_iterations=50, tolerance=0.000001, max_correspondence_distance=0.05)(lambda p, q, method, max_iterations, tolerance, max_correspondence_distance: _refined(p, q, np.eye(3), np.zeros(3), int(max_iterations), tolerance, max_correspondence_distance))
 
 
 def _ndt(p, q, voxel_size, max_iterations, step_size=0.1, tolerance=1e-6):
@@ -528,3 +532,115 @@ def train_checkpoint(checkpoints, key, step, loss, checkpoint_dir, save_interval
     best = F.row_number().over(Window.partitionBy(key).orderBy(F.col(loss).asc_nulls_last(), step)) == 1
     out = checkpoints.select("*", (due & (latest <= int(max_checkpoints))).alias("__k"), best.alias("is_best"))
     return out.select(*checkpoints.columns, (F.col("__k") | (F.col("is_best") & F.lit(bool(save_best)))).alias("kept"), "is_best")
+
+
+# --- several cameras: poses from the corners of a flat pattern
+
+
+def plane_pose(world: np.ndarray, image: np.ndarray, fx: float, fy: float, cx: float, cy: float) -> tuple[np.ndarray, float]:
+    """The pattern's pose (4 x 4) from its plane points and their images, through a pinhole, and the mean reprojection error."""
+    x = (image - [cx, cy]) / [fx, fy]
+    mid, size = world.mean(0), max(float(np.abs(world - world.mean(0)).max()), 1e-9)
+    w = (world - mid) / size
+    rows = np.zeros((2 * len(w), 9))
+    rows[::2, :3], rows[1::2, 3:6] = np.column_stack((w, np.ones(len(w)))), np.column_stack((w, np.ones(len(w))))
+    rows[::2, 6:], rows[1::2, 6:] = -x[:, :1] * rows[::2, :3], -x[:, 1:] * rows[1::2, 3:6]
+    h = np.linalg.svd(rows)[2][-1].reshape(3, 3) @ np.array([[1 / size, 0, -mid[0] / size], [0, 1 / size, -mid[1] / size], [0, 0, 1]])
+    h /= np.sqrt(np.linalg.norm(h[:, 0]) * np.linalg.norm(h[:, 1])) * (np.sign(h[2] @ [*mid, 1]) or 1)
+    u, _, v = np.linalg.svd(np.column_stack((h[:, 0], h[:, 1], np.cross(h[:, 0], h[:, 1]))))
+    pose = np.eye(4)
+    pose[:3, :3], pose[:3, 3] = u @ np.diag([1, 1, np.linalg.det(u @ v)]) @ v, h[:, 2]
+    return refined_pose(pose, world, image, fx, fy, cx, cy, 20, 1e-10)
+
+
+def _turn(v: np.ndarray) -> np.ndarray:
+    """The rotation of a turn vector."""
+    t = np.linalg.norm(v)
+    if t < 1e-12:
+        return np.eye(3)
+    k = np.array([[0, -v[2], v[1]], [v[2], 0, -v[0]], [-v[1], v[0], 0]]) / t
+    return np.eye(3) + np.sin(t) * k + (1 - np.cos(t)) * k @ k
+
+
+def _off(pose: np.ndarray, world: np.ndarray, image: np.ndarray, fx, fy, cx, cy) -> np.ndarray:
+    p = np.column_stack((world, np.zeros(len(world)))) @ pose[:3, :3].T + pose[:3, 3]
+    return (p[:, :2] / p[:, 2:] * [fx, fy] + [cx, cy] - image).ravel()
+
+
+def refined_pose(pose, world, image, fx, fy, cx, cy, rounds: int, threshold: float, turn: bool = True, shift: bool = True) -> tuple[np.ndarray, float]:
+    """Gauss and Newton's steps on the reprojection error, of at most six numbers."""
+    free = [k for k in range(6) if (turn if k < 3 else shift)]
+    step_of = lambda d: np.block([[_turn(d[:3]), d[3:, None]], [np.zeros((1, 3)), np.ones((1, 1))]])
+    e = _off(pose, world, image, fx, fy, cx, cy)
+    for _ in range(int(rounds)):
+        j = np.column_stack([(_off(step_of(np.eye(6)[k] * 1e-6) @ pose, world, image, fx, fy, cx, cy) - e) / 1e-6 for k in free]) if free else np.zeros((len(e), 0))
+        d = np.zeros(6)
+        d[free] = -np.linalg.lstsq(j, e, rcond=None)[0]
+        new = step_of(d) @ pose
+        f = _off(new, world, image, fx, fy, cx, cy)
+        if f @ f >= e @ e - threshold * 1e-6:
+            break
+        pose, e = new, f
+    return pose, float(np.hypot(*e.reshape(-1, 2).T).mean())
+
+
+_MATRIX = ", ".join(f"r{i}{j} double" for i in (1, 2, 3) for j in (1, 2, 3)) + ", tx double, ty double, tz double"
+_CAMERA = f"rig_id long, camera_id long, {_MATRIX}, baseline double, reprojection_error double, num_views long"
+_LENS = {"fx": 1000.0, "fy": 1000.0, "cx": 320.0, "cy": 240.0}
+
+
+def _rigs(corners: DataFrame, reference: int, fx, fy, cx, cy, least: int = 1) -> DataFrame:
+    """Rows (rig_id, camera_id, view_id, u, v, wx, wy): each camera's pose against the reference camera's, averaged over the
+    views that both have. A rig's corners fit in one task; rigs are dealt over all.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in _CAMERA.split(", ")]
+        poses, errors = {}, {}
+        for (camera, view), g in pdf.sort_values(["camera_id", "view_id", "wy", "wx"]).groupby(["camera_id", "view_id"]):
+            if len(g) >= 4:
+                pose, error = plane_pose(g[["wx", "wy"]].to_numpy(float), g[["u", "v"]].to_numpy(float), fx, fy, cx, cy)
+                poses[camera, view] = pose
+                errors.setdefault(camera, []).append(error)
+        out = []
+        for camera in sorted(errors):
+            both = [v for c, v in poses if c == camera and (reference, v) in poses]
+            if len(both) < least:
+                continue
+            rel = [poses[camera, v] @ np.linalg.inv(poses[reference, v]) for v in both]
+            u, _, w = np.linalg.svd(np.mean([m[:3, :3] for m in rel], axis=0))
+            r, t = u @ np.diag([1, 1, np.linalg.det(u @ w)]) @ w, np.mean([m[:3, 3] for m in rel], axis=0)
+            out.append([int(pdf.rig_id.iloc[0]), int(camera), *r.ravel(), *t, float(np.linalg.norm(t)), float(np.mean(errors[camera])), len(both)])
+        return pd.DataFrame(out, columns=names)
+
+    return corners.select("rig_id", "camera_id", "view_id", "u", "v", "wx", "wy").groupBy("rig_id").applyInPandas(one, _CAMERA)
+
+
+_OUT = _CAMERA.replace(" long", "").replace(" double", "").replace(",", "")
+_PATTERN = {"pattern_width": 9, "pattern_height": 6, "square_size": 25.0}
+table_op("multi_camera_calibrate", "corner_points", _OUT, num_cameras=2, **_PATTERN, **_LENS)(lambda corner_points, num_cameras, pattern_width, pattern_height, square_size, fx, fy, cx, cy: _rigs(corner_points.filter(F.col("camera_id") < int(num_cameras)), 0, fx, fy, cx, cy))
+table_op("calibrate_cameras", "corner_points", _OUT, num_cameras=4, **_PATTERN, reference_camera=0, **_LENS)(lambda corner_points, num_cameras, pattern_width, pattern_height, square_size, reference_camera, fx, fy, cx, cy: _rigs(corner_points.filter(F.col("camera_id") < int(num_cameras)), int(reference_camera), fx, fy, cx, cy))
+table_op("stereo_calibrate_extended", "corner_points", _OUT, **_PATTERN, min_images=10, **_LENS)(lambda corner_points, pattern_width, pattern_height, square_size, min_images, fx, fy, cx, cy: _rigs(corner_points.filter("camera_id < 2"), 0, fx, fy, cx, cy, int(min_images)).filter("camera_id = 1"))
+
+_REFINED = f"rig_id long, camera_id long, view_id long, {_MATRIX}, initial_error double, refined_error double, improvement double"
+
+
+@table_op("calibration_refine", "calibration_result corner_points", _REFINED.replace(" long", "").replace(" double", "").replace(",", ""), max_iterations=100, convergence_threshold=1e-6, enable_rotation_refinement=True, enable_translation_refinement=True, **_LENS)
+def calibration_refine(calibration_result, corner_points, max_iterations, convergence_threshold, enable_rotation_refinement, enable_translation_refinement, fx, fy, cx, cy):
+    """Poses (rig_id, camera_id, view_id, r11 to tz) moved to the least reprojection error of their view's corners."""
+    cells = [x.split()[0] for x in _MATRIX.split(", ")]
+    keys = ["rig_id", "camera_id", "view_id"]
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        names = [x.split()[0] for x in _REFINED.split(", ")]
+        if not len(a) or len(b) < 4:
+            return pd.DataFrame(columns=names)
+        b = b.sort_values(["wy", "wx"])
+        pose = np.eye(4)
+        pose[:3, :3], pose[:3, 3] = a[cells[:9]].iloc[0].to_numpy(float).reshape(3, 3), a[cells[9:]].iloc[0].to_numpy(float)
+        world, image = b[["wx", "wy"]].to_numpy(float), b[["u", "v"]].to_numpy(float)
+        before = float(np.hypot(*_off(pose, world, image, fx, fy, cx, cy).reshape(-1, 2).T).mean())
+        pose, after = refined_pose(pose, world, image, fx, fy, cx, cy, max_iterations, convergence_threshold, enable_rotation_refinement, enable_translation_refinement)
+        return pd.DataFrame([[*[int(a[k].iloc[0]) for k in keys], *pose[:3, :3].ravel(), *pose[:3, 3], before, after, before - after]], columns=names)
+
+    return calibration_result.select(*keys, *cells).groupBy(*keys).cogroup(corner_points.select(*keys, "u", "v", "wx", "wy").groupBy(*keys)).applyInPandas(one, _REFINED)

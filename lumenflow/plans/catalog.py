@@ -359,10 +359,10 @@ def build() -> None:
         _tables()
         _products()
         _surfaces()
-        from . import catalog_more, catalog_pieces
+        from . import catalog_more, catalog_pieces, catalog_rest
 
-        catalog_more.build()
-        catalog_pieces.build()
+        for more in (catalog_more, catalog_pieces, catalog_rest):
+            more.build()
 
 
 def queries() -> dict[str, Query]:
