@@ -1025,19 +1025,19 @@ def precision_benchmark(image, theoretical, method, threshold, sigma, direction)
     return {"measured": at, "error": at - theoretical}
 
 
-def _synthetic(image, pattern_type, param1, param2, noise_level, fg_value, bg_value):
-    """The frame's size with an edge of one sample's ramp: at x = param1 (vertical), y = param1 (horizontal), or a disc about the middle of radius param1."""
-    y, x = np.indices(image.shape[:2])
+def _synthetic(image, pattern_type, width, height, param1, param2, noise_level, fg_value, bg_value):
+    """A frame of the given size, or of the input's where it is 0, with an edge of one sample's ramp: at x = param1 (vertical), y = param1 (horizontal), or a disc about the middle of radius param1."""
+    y, x = np.indices((int(height) or image.shape[0], int(width) or image.shape[1]))
     d = {"vertical": x - param1, "horizontal": y - param1}.get(pattern_type)
     if d is None:
-        d = param1 - np.hypot(x - (image.shape[1] - 1) / 2, y - (image.shape[0] - 1) / 2)
+        d = param1 - np.hypot(x - (x.shape[1] - 1) / 2, y - (y.shape[0] - 1) / 2)
     v = bg_value + (fg_value - bg_value) * np.clip(d + 0.5, 0, 1)
     if noise_level > 0:
         v = v + np.random.default_rng(0).normal(0, noise_level, v.shape)
     return clamp(np.round(v))[:, :, None]
 
 
-image_op("PrecisionTest", pattern_type="vertical", param1=128.5, param2=128.0, noise_level=0.0, fg_value=200.0, bg_value=50.0)(_synthetic)
+image_op("PrecisionTest", pattern_type="vertical", width=0.0, height=0.0, param1=128.5, param2=128.0, noise_level=0.0, fg_value=200.0, bg_value=50.0)(_synthetic)
 
 
 register(Operator("SimpleImageSource", "source", {"width": 512, "height": 512}, ("ids",), ("image",), lambda ids, width, height: _ramps(ids, width, height)))

@@ -231,8 +231,11 @@ def white_balance(image, method):
     return clamp(image * (want / np.maximum(base, 1e-9)) + 1e-6)
 
 
-@image_op("color_correct", method="white_balance", gamma=1.0, low_clip=0.01, high_clip=0.01)
-def color_correct(image, method, gamma, low_clip, high_clip):
+@image_op("color_correct", method="white_balance", white_point="", gamma=1.0, low_clip=0.01, high_clip=0.01)
+def color_correct(image, method, white_point, gamma, low_clip, high_clip):
+    """A white point r,g,b becomes white; without one the planes' means become alike."""
+    if method == "white_balance" and white_point:
+        return clamp(image * (255.0 / np.maximum([float(v) for v in white_point.split(",")][: image.shape[2]], 1e-9)) + 1e-6)
     if method == "gamma":
         return gamma_correct(image, gamma)
     if method == "auto_levels":
@@ -327,9 +330,11 @@ def sharpen(image, strength):
     return clamp(image - strength * laplacian(image))
 
 
-@image_op("UnsharpMask", kernel_size=5, sigma=1.0, amount=1.0)
-def unsharp(image, kernel_size, sigma, amount):
-    return clamp(image + amount * (image - blurred(image, odd(kernel_size), sigma)) + 1e-6)
+@image_op("UnsharpMask", radius=5, sigma=1.0, amount=1.5, threshold=0)
+def unsharp(image, radius, sigma, amount, threshold):
+    """A Gaussian of `radius` samples across; differences up to the threshold stay as they are."""
+    off = image - blurred(image, odd(radius), sigma)
+    return clamp(image + np.where(abs(off) > threshold, amount * off, 0) + 1e-6)
 
 
 def _bilateral(image, d, sigma_color, sigma_space):

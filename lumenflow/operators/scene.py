@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .clouds import AXES, neighbours
 from .geometry import _op
-from .images import _plane, clamp, flip, gradient, gray, image_op, pair_op, resize, rotate
+from .images import _plane, clamp, flip, gradient, gray, hue_shift, image_op, pair_op, resize, rotate, saturation
 from .measures import table_op
 
 # --- positioning
@@ -64,18 +64,19 @@ def nine_point(points, key, min_points, max_error_threshold):
 
 # --- measurement models: a row per model with an array of objects
 
-_OBJECT = "object_id string, kind string, params map<string,double>"
+_OBJECT = "object_id string, kind string, transition string, params map<string,double>"
 
 
-@table_op("MeasureModelCreate", "ids", "model_id objects", model_name="", pixel_size=1.0)
-def model_create(ids, model_name, pixel_size):
-    return ids.select("*", F.lit(model_name).alias("model_name"), F.lit(float(pixel_size)).alias("pixel_size"), F.array().cast(f"array<struct<{_OBJECT.replace(' string', ':string').replace(' map', ':map')}>>").alias("objects"))
+@table_op("MeasureModelCreate", "ids", "model_id objects", model_id="measure_model", model_name="", pixel_size=1.0)
+def model_create(ids, model_id, model_name, pixel_size):
+    rows = ids if "model_id" in ids.columns else ids.withColumn("model_id", F.lit(model_id))
+    return rows.select("*", F.lit(model_name).alias("model_name"), F.lit(float(pixel_size)).alias("pixel_size"), F.array().cast(f"array<struct<{_OBJECT.replace(' string', ':string').replace(' map', ':map')}>>").alias("objects"))
 
 
 def _adder(kind: str, **params):
-    @table_op(f"MeasureModelAdd{kind}", "model", "objects", object_id=kind.lower() + "1", **params)
-    def add(model, object_id, **p):
-        one = F.struct(F.lit(object_id).alias("object_id"), F.lit(kind.lower()).alias("kind"), F.create_map(*[x for k, v in p.items() for x in (F.lit(k), F.lit(float(v)))]).alias("params"))
+    @table_op(f"MeasureModelAdd{kind}", "model", "objects", object_id=kind.lower() + "1", transition="all", **params)
+    def add(model, object_id, transition, **p):
+        one = F.struct(F.lit(object_id).alias("object_id"), F.lit(kind.lower()).alias("kind"), F.lit(transition).alias("transition"), F.create_map(*[x for k, v in p.items() for x in (F.lit(k), F.lit(float(v)))]).alias("params"))
         return model.withColumn("objects", F.array_append("objects", one))
 
     return add
@@ -145,9 +146,12 @@ def train_progress(metrics, key, step, loss, log_interval):
     return metrics.select("*", F.avg(loss).over(w.rowsBetween(1 - int(log_interval), 0)).alias("running_loss"), F.min(loss).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best_loss"))
 
 
-@table_op("ImageAnnotate", "frames", "annotation", "DataLabeling", label="object", annotation_type="rectangle", x=0, y=0, width=100, height=100)
-def annotate(frames, label, annotation_type, x, y, width, height):
-    return frames.select("frame_id", F.to_json(F.struct(F.lit(label).alias("label"), F.lit(annotation_type).alias("type"), F.array(*[F.lit(int(v)) for v in (x, y, width, height)]).alias("box"))).alias("annotation"))
+@table_op("ImageAnnotate", "frames", "annotation", "DataLabeling", label="object", annotation_type="rectangle", class_id=0, x=0, y=0, width=100, height=100, polygon_points="", color="255,0,0", show_label=True)
+def annotate(frames, label, annotation_type, class_id, x, y, width, height, polygon_points, color, show_label):
+    """A polygon has its points x,y,x,y; other shapes their box. A label that is not shown is left out."""
+    parts = [F.lit(annotation_type).alias("type"), F.lit(int(class_id)).alias("class_id"), F.lit(color).alias("color")]
+    parts.append(F.array(*[F.lit(float(v)) for v in polygon_points.split(",")]).alias("points") if polygon_points else F.array(*[F.lit(int(v)) for v in (x, y, width, height)]).alias("box"))
+    return frames.select("frame_id", F.to_json(F.struct(*([F.lit(label).alias("label")] if show_label else []), *parts)).alias("annotation"))
 
 
 @table_op("ImageDisplay", "image", "frame_id width height channels format bytes")
@@ -173,24 +177,43 @@ def augment(image, augment_type, rotate_angle, flip_direction, scale_range, crop
     return image
 
 
-@image_op("ColorAugment", brightness_range="-0.2,0.2", contrast_range="0.8,1.2", random_seed=0)
-def color_augment(image, brightness_range, contrast_range, random_seed):
-    rng = np.random.default_rng(int(random_seed))
-    shift, factor = (rng.uniform(*(float(v) for v in r.split(","))) for r in (brightness_range, contrast_range))
-    return clamp((image.astype(np.float64) - 128) * factor + 128 + 255 * shift)
-
-
-@image_op("RandomCrop", crop_width=0, crop_height=0, crop_ratio_min=0.5, crop_ratio_max=1.0, random_seed=0)
-def random_crop(image, crop_width, crop_height, crop_ratio_min, crop_ratio_max, random_seed):
+@image_op("ColorAugment", brightness_range="-0.2,0.2", contrast_range="0.8,1.2", saturation_range="0.8,1.2", hue_range="-0.1,0.1", random_apply=True, random_seed=0)
+def color_augment(image, brightness_range, contrast_range, saturation_range, hue_range, random_apply, random_seed):
+    """A draw from each range; without random_apply the ranges' middles. Colour frames change in saturation and hue (turns) too."""
     rng = np.random.default_rng(int(random_seed))
+    ranges = ([float(v) for v in r.split(",")] for r in (brightness_range, contrast_range, saturation_range, hue_range))
+    shift, factor, richer, turn = (rng.uniform(*r) if random_apply else sum(r) / 2 for r in ranges)
+    out = clamp((image.astype(np.float64) - 128) * factor + 128 + 255 * shift)
+    return hue_shift(saturation(out, richer), 360 * turn) if out.shape[2] >= 3 else out
+
+
+@image_op("RandomCrop", crop_width=0, crop_height=0, crop_ratio_min=0.5, crop_ratio_max=1.0, ensure_object=True, num_outputs=1, random_seed=0)
+def random_crop(image, crop_width, crop_height, crop_ratio_min, crop_ratio_max, ensure_object, num_outputs, random_seed):
+    """With ensure_object, of ten draws the first that varies as much as the frame does, else the one that varies most. Of
+    several outputs a run gives one frame: the seed's; give other seeds for others.
+    """
+    rng, best = np.random.default_rng(int(random_seed)), None
+    for _ in range(10 if ensure_object else 1):
+        crop = _one_crop(rng, image, crop_width, crop_height, crop_ratio_min, crop_ratio_max)
+        if best is None or crop.std() > best.std():
+            best = crop
+        if crop.std() >= image.std():
+            return crop
+    return best
+
+
+def _one_crop(rng, image, crop_width, crop_height, crop_ratio_min, crop_ratio_max):
     ratio = rng.uniform(crop_ratio_min, crop_ratio_max)
     w, h = min(int(crop_width) or max(int(image.shape[1] * ratio), 1), image.shape[1]), min(int(crop_height) or max(int(image.shape[0] * ratio), 1), image.shape[0])
     x, y = rng.integers(0, image.shape[1] - w + 1), rng.integers(0, image.shape[0] - h + 1)
     return image[y : y + h, x : x + w]
 
 
-@pair_op("Mixup", mix_ratio=0.5, blend_mode="linear")
-def mixup(a, b, mix_ratio, blend_mode):
+@pair_op("Mixup", mix_ratio=0.5, blend_mode="linear", random_ratio="", random_seed=0)
+def mixup(a, b, mix_ratio, blend_mode, random_ratio, random_seed):
+    """With a random_ratio low,high the share is drawn from it."""
+    if random_ratio:
+        mix_ratio = np.random.default_rng(int(random_seed)).uniform(*(float(v) for v in random_ratio.split(",")))
     return clamp(mix_ratio * a + (1 - mix_ratio) * b)
 
 
@@ -208,7 +231,7 @@ def seam_blend(a, b, blend_width, draw_seam):
     return np.concatenate((a[:, : a.shape[1] - k], clamp(mid), b[:, k:]), axis=1)
 
 
-image_op("PowerSpectrum", log_scale=True)(lambda image, log_scale: _plane((np.log1p if log_scale else np.asarray)(abs(np.fft.fftshift(np.fft.fft2(gray(image)))) ** 2)))
+image_op("PowerSpectrum", log_scale=True, center_shift=True)(lambda image, log_scale, center_shift: _plane((np.log1p if log_scale else np.asarray)(abs((np.fft.fftshift if center_shift else np.asarray)(np.fft.fft2(gray(image)))) ** 2)))
 
 
 @image_op("RemovePeriodicNoise", threshold_ratio=0.1, notch_radius=5)

@@ -82,7 +82,7 @@ def _filters() -> None:
     _image("GaussianFilter", _near(f"floor(sum(q.v * {bell(1.0)}) / sum({bell(1.0)}) + 1e-6)", 2))
     _image("GaussianFilter", _near(f"floor(sum(q.v * {bell(2.0)}) / sum({bell(2.0)}) + 1e-6)", 3), "GaussianFilter_wide", kernel_size=7, sigma=2.0)
     _image("CudaGaussianBlur", _near(f"floor(sum(q.v * {bell(1.0)}) / sum({bell(1.0)}) + 1e-6)", 3), sigma=1.0)
-    _image("UnsharpMask", _near(f"floor(least(255, greatest(0, p.v + (p.v - sum(q.v * {bell(1.0)}) / sum({bell(1.0)})) + 1e-6)))", 2))
+    _image("UnsharpMask", _near(f"floor(least(255, greatest(0, p.v + 1.5 * (p.v - sum(q.v * {bell(1.0)}) / sum({bell(1.0)})) + 1e-6)))", 2))
     for name, k in (("BilateralFilter", 2), ("DenoiseBilateral", 4)):
         weight = f"exp(-{far} / {2 * 75.0 * 75.0}) * exp(-pow(q.v - p.v, 2) / {2 * 75.0 * 75.0})"
         _image(name, _near(f"floor(sum(q.v * {weight}) / sum({weight}) + 1e-6)", k))

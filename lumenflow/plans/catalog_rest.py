@@ -37,7 +37,7 @@ def _accelerated() -> None:
     _image("MagnitudeSpectrum", spectrum("sqrt(re * re + im * im)"), log_scale=False)
     _image("PowerSpectrum", spectrum("re * re + im * im"), log_scale=False)
     reach = f"WITH RECURSIVE {PX}, f AS (SELECT p.frame_id, p.y, p.x FROM px p JOIN px s ON s.frame_id = p.frame_id AND s.y = 4 AND s.x = 5 WHERE abs(p.v - s.v) <= 60), r AS (SELECT frame_id, y, x FROM f WHERE y = 4 AND x = 5 UNION SELECT f.frame_id, f.y, f.x FROM r JOIN f ON f.frame_id = r.frame_id AND abs(f.y - r.y) + abs(f.x - r.x) = 1)"
-    add("img_RegionGrowing", lambda s, d: _flat(images.run(frames(s, d), ("RegionGrowing", {"seed_x": 5, "seed_y": 4, "threshold": 60}))), f"{reach} SELECT px.frame_id, px.y, px.x, CASE WHEN r.y IS NULL THEN 0 ELSE 255 END::BIGINT AS v FROM px LEFT JOIN r ON r.frame_id = px.frame_id AND r.y = px.y AND r.x = px.x")
+    add("img_RegionGrowing", lambda s, d: _flat(images.run(frames(s, d), ("RegionGrowing", {"seed_x": 5, "seed_y": 4, "threshold": 60, "connectivity": 4}))), f"{reach} SELECT px.frame_id, px.y, px.x, CASE WHEN r.y IS NULL THEN 0 ELSE 255 END::BIGINT AS v FROM px LEFT JOIN r ON r.frame_id = px.frame_id AND r.y = px.y AND r.x = px.x")
     two = f"WITH {PX}, {_px('pz', V2)}"
     pair = lambda t, **p: lambda s, d: _flat(find(t).plan(frames(s, d), frames(s, d, V2), **find(t).bind(p)))
     add("img_ImageConcat", pair("ImageConcat"), f"{two} SELECT frame_id, y, x, v::BIGINT AS v FROM px UNION ALL SELECT frame_id, y, x + {W}, v::BIGINT FROM pz")

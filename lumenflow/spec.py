@@ -26,7 +26,8 @@ class Operator:
 
     def bind(self, given: dict[str, Any] | None = None) -> dict[str, Any]:
         """Declared defaults overlaid by what is given; unknown names are an error, null means the default."""
-        given = {k: v for k, v in (given or {}).items() if v is not None}
+        names = SYNONYMS.get(self.type_id, {})
+        given = {names.get(k, k): v for k, v in (given or {}).items() if v is not None}
         if unknown := set(given) - set(self.params):
             raise FlowError(f"{self.type_id} has no parameter {', '.join(sorted(unknown))}")
         bound = dict(self.params)
@@ -38,6 +39,15 @@ class Operator:
         return bound
 
 
+#: Other names of parameters, by operator.
+SYNONYMS: dict[str, dict[str, str]] = {
+    "DistancePointEllipse": {"a": "ea", "b": "eb"},
+    "PrecisionReport": {"target_precision": "target"},
+    "ImageAnnotate": {"annotation_mode": "annotation_type"},
+    "marching_cubes": {"resolution": "voxel_size"},
+    "depth_to_pointcloud": {"fx": "focal_length_x", "fy": "focal_length_y", "cx": "center_x", "cy": "center_y"},
+}
+
 REGISTRY: dict[str, Operator] = {}
 ALIASES: dict[str, str] = {}
 
