@@ -73,7 +73,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """How often each document is taken: id, source, size, source_size, target, copies, taken.
 
     A null source is a source of its own, last in order; null text has size 0; a source without words takes
-    nothing. Rows that repeat an id draw alike. An empty table gives an empty result.
+    nothing. Rows that repeat an id draw alike; of seeds that come equally near the first is used. Very long texts
+    count by their words. An empty table gives an empty result; other columns are ignored.
     """
     sizes = _sizes(docs, id_col, text_col, source_col)
     mixed = _with_copies(sizes, repetition_rates(sizes, **how))
@@ -84,7 +85,11 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixed documents: every row of docs as often as the mix takes it, with all its columns."""
+    """The mixed documents: every row of docs as often as the mix takes it, with all its columns, whatever their names.
+
+    Null, empty and very long texts, null sources, rows that repeat and empty tables are as in mix_plan; a text without
+    words is taken as its source's rate says, none at all where its source has no words.
+    """
     rates = repetition_rates(_sizes(docs, id_col, text_col, source_col), **how)
     rows = docs.select("*", F.col(source_col).alias(P + "source"), _draw(id_col).alias(P + "u"))
     drawn = _with_copies(rows, rates).filter(F.col(P + "copies") > 0)

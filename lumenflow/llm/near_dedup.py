@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 #: A band is ROWS elements, an element the two least k-mers of one hash, in text order. Texts of
 #: similarity 0.8 share a band with probability 0.8 ** 4; 24 bands miss one such pair in 300,000.
 BANDS, ROWS = 24, 2
+#: A shingle with more places in a text than this has them as a mask.
+FEW = 16
 
 _rng = np.random.default_rng(2019)
 _MUL = ((_rng.integers(0, 1 << 31, BANDS * ROWS, np.uint32) << np.uint32(1)) | np.uint32(1))[:, None]
@@ -81,8 +83,8 @@ def sketch(kmers: np.ndarray, block: int = 4096) -> np.ndarray:
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Shingles that an alignment in order matches, over all: lcs / (n + m - lcs); 0 if under `least`.
 
-    The alignment is a longest common subsequence in bit-parallel form (a bit for each shingle of a),
-    within the band outside which no path can reach `least`.
+    The alignment is a longest common subsequence in bit-parallel form, a bit for each shingle of a within the band outside
+    which no path can reach `least`.
     """
     n, m = len(a), len(b)
     if not n or not m:
@@ -102,20 +104,39 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     most = head + tail + int(np.minimum(counts[i], more[j]).sum())
     if most / (n + m - most) < least:
         return 0.0
-    mask: dict[int, int] = {}
     common = set(values[i].tolist())
+    places: dict[int, list[int]] = {}
     for k, x in enumerate(a.tolist()):
         if x in common:
-            mask[x] = mask.get(x, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    state, wide = full, (1 << (2 * band + 1)) - 1
+            places.setdefault(x, []).append(k)
+    masks = {x: sum(1 << k for k in p) for x, p in places.items() if len(p) > FEW}
+    # The state has a bit for each place of a from `base` to `top`: those below the band stand and are counted, those above
+    # it are still untouched.
+    base = top = matched = state = 0
     for k, x in enumerate(b.tolist()):
-        hit = mask.get(x, 0)
-        if hit:
-            hit &= wide << (k - band) if k >= band else wide >> (band - k)
+        low, high = max(0, k - band), min(len(a), k + band + 1)
+        if high > top:
+            state |= ((1 << (high - top)) - 1) << (top - base)
+            top = high
+        if low - base >= 1024:
+            done = min(low, top) - base
+            matched += done - (state & ((1 << done) - 1)).bit_count()
+            state >>= done
+            base += done
+        p = places.get(x)
+        if p:
+            if x in masks:
+                hit = masks[x] >> low & ((1 << max(high - low, 0)) - 1)
+                hit <<= low - base
+            else:
+                hit = 0
+                for q in p:
+                    if low <= q < high:
+                        hit |= 1 << (q - base)
             hit &= state
-            state = ((state + hit) | (state - hit)) & full
-    lcs = head + tail + len(a) - state.bit_count()
+            if hit:
+                state = ((state + hit) | (state - hit)) & ((1 << (top - base)) - 1)
+    lcs = head + tail + matched + (top - base) - state.bit_count()
     found = lcs / (n + m - lcs)
     return found if found >= least else 0.0
 
@@ -257,7 +278,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Similarity is over five-word shingles, matched in order: lcs / union. Null text counts as empty; empty texts are one
     class; texts under five words are one shingle. Null ids never stand for a class unless it has no other. Of rows
-    that repeat one id and text, one is kept. An empty table gives an empty result; other columns are ignored.
+    that repeat one id and text, one is kept; of ties the least id stands for a class. Very long texts are sketched and
+    aligned whole. An empty table gives an empty result; other columns are ignored.
     """
     sigs, classes = near_classes(docs, id_col, text_col, similarity)
     rows = sigs.select(P + "id", P + "key", P + "rid").join(classes.select(P + "key", "winner", "class_size"), P + "key")

@@ -93,3 +93,30 @@ def test_awkward_rows(awkward, nothing):
     assert len(rows) == awkward.count()
     assert sum(r["kept"] for r in rows) == N.distinct_documents(awkward).count() == len({r["class_id"] for r in rows})
     assert N.near_dedup(nothing).count() == 0 and N.distinct_documents(nothing).count() == 0
+
+
+def test_alignment_within_the_band_equals_the_whole_table():
+    import random
+
+    import numpy as np
+
+    from lumenflow.llm import near_dedup
+
+    rng = random.Random(11)
+    for trial in range(120):
+        n, letters = rng.choice([5, 40, 300, 1500 if trial % 30 == 0 else 90]), rng.choice([2, 30, 10_000])
+        a = [rng.randrange(letters) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randint(0, max(1, n // 12))):
+            k = rng.randrange(len(b))
+            b[k : k + rng.randint(0, 2)] = [rng.randrange(letters) for _ in range(rng.randint(0, 2))]
+            b = b or [0]
+        before = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+            before = row
+        want = before[-1] / (len(a) + len(b) - before[-1])
+        got = near_dedup.aligned_similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert abs(got - (want if want >= 0.8 else 0.0)) < 1e-12, (n, letters, want, got)
