@@ -121,7 +121,7 @@ def label_export(annotations, format, output_dir, filename, include_images):
 def dataset_manager(dataset, key, split_strategy, train_ratio, val_ratio, test_ratio, k_fold, random_seed):
     from .relational import dataset_split
 
-    return dataset_split(dataset, key, train_ratio, val_ratio, random_seed).withColumn("fold", F.pmod(F.col(key) * 104729 + int(random_seed), F.lit(int(k_fold))).cast("int"))
+    return dataset_split(dataset, key, train_ratio, val_ratio, 1 - train_ratio - val_ratio, False, "", random_seed).withColumn("fold", F.pmod(F.col(key) * 104729 + int(random_seed), F.lit(int(k_fold))).cast("int"))
 
 
 @table_op("DataValidation", "dataset", "rows missing duplicates outliers quality_score", key="group_id", value="value", check_duplicate=True, check_missing=True, check_outliers=True, min_quality_score=0.7)

@@ -102,7 +102,7 @@ SELECT object_id, mx + a AS center_x, my + b AS center_y, sqrt(a * a + b * b + q
     }
     for name, (columns, reals) in measures.items():
         op = find(name)
-        add(f"tab_{name}", lambda s, d, op=op: op.plan(points(s, d), **op.bind({})), f"{polygon} SELECT object_id, {columns} FROM s", reals, 5)
+        add(f"tab_{name}", lambda s, d, op=op: op.plan(points(s, d), **op.bind({})), f"{polygon} SELECT object_id, {columns} FROM s", reals, 7 if name == "RectangleMeasure" else 5)
     t("MeasureResultsGet", "SELECT o_orderpriority AS object_id, o_orderkey, o_totalprice AS value FROM orders WHERE o_orderpriority = (SELECT min(o_orderpriority) FROM orders)", "value", ("orders", ["o_orderpriority AS object_id", "o_orderkey", "o_totalprice AS value"]))
     got = find("MeasureResultsGet")
 
