@@ -6,7 +6,7 @@ import random
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import P, text_of
@@ -204,10 +204,10 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
     return out
 
 
-Window = tuple[str, str, str]
+Surroundings = tuple[str, str, str]
 
 
-def document_windows(docs: DataFrame, text_col: str = "text", rows: int = 20_000, most: int = 200) -> dict[str, list[Window]]:
+def document_windows(docs: DataFrame, text_col: str = "text", rows: int = 20_000, most: int = 200) -> dict[str, list[Surroundings]]:
     """What stands before, in and after base spans of a bounded sample: of about `rows` documents, chosen by a hash of the
     text, at most `most` spans of each kind.
     """
@@ -215,20 +215,20 @@ def document_windows(docs: DataFrame, text_col: str = "text", rows: int = 20_000
     text = text_of(text_col)
     chosen = docs.filter(F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(text.alias(P + "text"))
     found = base_spans(chosen, P + "text")
-    t, out = F.col(P + "text"), None
-    for kind in KINDS:
-        spans = found.filter(F.size(P + kind) > 0).select(F.lit(kind).alias("kind"), t, F.explode(P + kind).alias("s"))
-        before = F.substring(t, F.greatest(F.col("s.start") - 39, F.lit(1)), F.least(F.col("s.start"), F.lit(40)))
-        each = spans.select("kind", before.alias("before"), F.col("s.hit").alias("hit"), F.substring(t, F.col("s.end") + 1, F.lit(40)).alias("after"))
-        each = each.orderBy(F.xxhash64("before", "hit", "after"), "before", "hit", "after").limit(most)
-        out = each if out is None else out.unionByName(each)
-    got: dict[str, list[Window]] = {k: [] for k in KINDS}
+    t = F.col(P + "text")
+    of = lambda kind: F.transform(P + kind, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit")))
+    spans = found.select(t, F.explode(F.concat(*[of(k) for k in KINDS])).alias("s"))
+    before = F.substring(t, F.greatest(F.col("s.start") - 39, F.lit(1)), F.least(F.col("s.start"), F.lit(40)))
+    each = spans.select(F.col("s.kind").alias("kind"), before.alias("before"), F.col("s.hit").alias("hit"), F.substring(t, F.col("s.end") + 1, F.lit(40)).alias("after"))
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("before", "hit", "after"), "before", "hit", "after")
+    out = each.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+    got: dict[str, list[Surroundings]] = {k: [] for k in KINDS}
     for r in out.collect():
         got[r["kind"]].append((r["before"], r["hit"], r["after"]))
     return {k: sorted(v) for k, v in got.items()}
 
 
-def _examples(windows: dict[str, list[Window]], n: int = 2400, seed: int = 5) -> list[tuple[str, int, int]]:
+def _examples(windows: dict[str, list[Surroundings]], n: int = 2400, seed: int = 5) -> list[tuple[str, int, int]]:
     """(text, kind, label): one proposal each, true or not, in surroundings that speak for, against or neither.
 
     Surroundings and values are those of base spans of the documents, where there are any: a true one is such a value
