@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import images
 from ..spec import find
-from .catalog import H, V1, V2, W, _flat, _image, _inspections, _near, _px, add, frames, pixels, table  # noqa: F401
+from .catalog import H, V1, V2, W, _flat, _image, _near, _px, add, frames, pixels, table
 
 PX = _px("px", V1)
 
@@ -46,19 +46,19 @@ def _bell(sigma: float) -> str:
 
 def _frequencies() -> None:
     responses = {
-        ("IdealLowPass", ()): ("d <= 0.2", {"cutoff_frequency": 0.2}),
-        ("IdealHighPass", ()): ("d > 0.1", {}),
-        ("GaussLowPass", ()): (_bell(10), {}),
-        ("GaussHighPass", ()): (f"1 - {_bell(10)}", {}),
-        ("ButterworthLowPass", ()): ("1 / (1 + pow(d / 0.2, 4))", {"cutoff_frequency": 0.2}),
-        ("ButterworthHighPass", ()): ("1 - 1 / (1 + pow(d / 0.1, 4))", {}),
-        ("BandPass", ()): ("abs(d - 0.3) <= 0.05", {}),
-        ("BandStop", ()): ("abs(d - 0.3) > 0.05", {}),
-        ("FrequencySmooth", ()): (_bell(5), {}),
-        ("FrequencySharpen", ()): (f"1 + 1.0 * (1 - {_bell(20)})", {}),
-        ("FrequencyUnsharpMask", ()): (f"1 + 0.5 * (1 - {_bell(5)})", {}),
+        "IdealLowPass": ("d <= 0.2", {"cutoff_frequency": 0.2}),
+        "IdealHighPass": ("d > 0.1", {}),
+        "GaussLowPass": (_bell(10), {}),
+        "GaussHighPass": (f"1 - {_bell(10)}", {}),
+        "ButterworthLowPass": ("1 / (1 + pow(d / 0.2, 4))", {"cutoff_frequency": 0.2}),
+        "ButterworthHighPass": ("1 - 1 / (1 + pow(d / 0.1, 4))", {}),
+        "BandPass": ("abs(d - 0.3) <= 0.05", {}),
+        "BandStop": ("abs(d - 0.3) > 0.05", {}),
+        "FrequencySmooth": (_bell(5), {}),
+        "FrequencySharpen": (f"1 + 1.0 * (1 - {_bell(20)})", {}),
+        "FrequencyUnsharpMask": (f"1 + 0.5 * (1 - {_bell(5)})", {}),
     }
-    for (name, _), (response, params) in responses.items():
+    for name, (response, params) in responses.items():
         gain = f"({response})::INT" if "=" in response or ">" in response else response
         body = f"WITH {_forward('px', 'f')}, g AS (SELECT frame_id, k, u, re * r AS re, im * r AS im FROM (SELECT *, {gain} AS r FROM (SELECT *, {_DISTANCE} AS d FROM f))), {_back('g', 'b')} SELECT frame_id, y, x, {_CUT} AS v FROM b"
         _image(name, body, **params)
@@ -232,7 +232,6 @@ def _others() -> None:
     seen = f"SELECT model_id, view_id, point_id, u, v, depth FROM (SELECT *, vx / depth * 525 + 320 AS u, y / depth * 525 + 240 AS v FROM {turned} WHERE depth > 0) WHERE u >= 0 AND u < 640 AND v >= 0 AND v < 480"
     t("CreateShapeModel3D", seen, "u v depth", model, num_views=6)
     t("ShapeModel3DTrain", seen, "u v depth", model, num_views=6)
-    raster = f"SELECT model_id, floor(x / z2 * 525 + 320)::BIGINT AS u, floor(y / z2 * 525 + 240)::BIGINT AS v, count(*) AS n, min(z2) AS depth FROM (SELECT *, z + 500 AS z2 FROM {pts}) WHERE z2 > 0 GROUP BY 1, 2, 3 HAVING floor(x / z2 * 525 + 320) BETWEEN 0 AND 639 AND floor(y / z2 * 525 + 240) BETWEEN 0 AND 479"
     raster = f"SELECT model_id, u, v, count(*) AS n, min(z2) AS depth FROM (SELECT model_id, z2, floor(x / z2 * 525 + 320)::BIGINT AS u, floor(y / z2 * 525 + 240)::BIGINT AS v FROM (SELECT *, z + 500 AS z2 FROM {pts}) WHERE z2 > 0) WHERE u BETWEEN 0 AND 639 AND v BETWEEN 0 AND 479 GROUP BY 1, 2, 3"
     t("ShapeModel3DProject", raster, "depth", model)
     t("ShapeModel3DVisualize", raster, "depth", model)
@@ -255,7 +254,6 @@ c AS (SELECT frame_id, y, x, min(seed) AS seed FROM reach GROUP BY 1, 2, 3), b A
 SELECT * FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER BY seed) AS blob, area, bx AS x, by_ AS y, width, height, center_x, center_y FROM b) WHERE area >= 10"""
     add("inspect_photometric_defect_detect", lambda s, d: flaw.plan(normal(s, d), **flaw.bind({"albedo_threshold": 0.45})), spots, "center_x center_y")
     part = find("InspectComponent")
-    wide = f"WITH {PX}, b AS (SELECT frame_id, y * 2 + i AS y, x * 2 + j AS x, v FROM px, (SELECT unnest([0, 1]) AS i) p, (SELECT unnest([0, 1]) AS j) q), m AS (SELECT b.frame_id, t.x, t.y, avg(b.v) / 255 AS score FROM b JOIN (SELECT unnest(range(4, 9)) AS y) ty ON b.y BETWEEN ty.y AND ty.y + 19 JOIN (SELECT unnest(range(12, 17)) AS x) tx ON b.x BETWEEN tx.x AND tx.x + 19 JOIN (SELECT unnest(range(4, 9)) AS y, 0 AS x) t ON FALSE GROUP BY 1, 2, 3)"
     wide = f"WITH {PX}, b AS (SELECT frame_id, y * 2 + i AS y, x * 2 + j AS x, v FROM px, (SELECT unnest([0, 1]) AS i) p, (SELECT unnest([0, 1]) AS j) q), m AS (SELECT b.frame_id, ty.k AS y, tx.k AS x, avg(b.v) / 255 AS score FROM b JOIN (SELECT unnest(range(4, 9)) AS k) ty ON b.y BETWEEN ty.k AND ty.k + 19 JOIN (SELECT unnest(range(12, 17)) AS k) tx ON b.x BETWEEN tx.k AND tx.k + 19 GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY y, x) AS k FROM m WHERE score >= 0.5)"
     add("inspect_InspectComponent", lambda s, d: part.plan(images.run(frames(s, d), ("Resize", {"width": 2 * W, "height": 2 * H, "interpolation": "nearest"})), **part.bind({"expected_x": 14, "expected_y": 6, "tolerance": 2.0, "min_score": 0.5})), f"{wide} SELECT f.frame_id, (r.k IS NOT NULL)::BIGINT AS num_found, CASE WHEN r.k IS NULL THEN 'Not Found' ELSE 'Found' END AS inspection_result, r.k IS NOT NULL AS all_found, coalesce(r.x, 0)::BIGINT AS x, coalesce(r.y, 0)::BIGINT AS y, coalesce(r.score, 0) AS score FROM (SELECT DISTINCT frame_id FROM px) f LEFT JOIN r ON r.frame_id = f.frame_id AND r.k = 1", "score")
 
@@ -265,10 +263,8 @@ SELECT * FROM (SELECT frame_id, row_number() OVER (PARTITION BY frame_id ORDER B
 
 def _sums() -> None:
     plain = lambda t, **p: lambda s, d: find(t).plan(frames(s, d), **find(t).bind(p))
-    inner = f"p.y BETWEEN 2 AND {H - 3} AND p.x BETWEEN 2 AND {W - 3}"
     inside = f"y BETWEEN 1 AND {H - 2} AND x BETWEEN 1 AND {W - 2}"
     lap = _near("sum(CASE WHEN dy = 0 AND dx = 0 THEN -4 WHEN abs(dy) + abs(dx) = 1 THEN 1 ELSE 0 END * q.v)", 1)
-    del inner
     add("measure_QualityEvaluate", plain("QualityEvaluate"), f"WITH {PX}, l AS (SELECT frame_id, var_pop(v) AS sharpness FROM ({lap}) WHERE {inside} GROUP BY 1), m AS (SELECT frame_id, stddev_pop(v) AS contrast, avg(v) AS brightness FROM px GROUP BY 1) SELECT m.frame_id, sharpness, contrast, brightness, 50 * least(sharpness / 10, 1) + 50 * least(contrast / 30, 1) AS quality_score FROM m JOIN l ON l.frame_id = m.frame_id", "sharpness contrast brightness quality_score")
     add("measure_AdaptiveParam", plain("AdaptiveParam"), f"WITH {PX}, m AS (SELECT frame_id, avg(v) AS brightness, stddev_pop(v) AS contrast FROM px GROUP BY 1) SELECT frame_id, 10000.0 * least(128 / greatest(brightness, 1), 4) AS exposure_us, greatest(128 / greatest(brightness, 1) / 4, 1) AS gain, brightness, contrast FROM m", "exposure_us gain brightness contrast")
     row = f"WITH {PX} SELECT frame_id, (x - 6)::BIGINT AS position, v::DOUBLE AS value FROM px WHERE y = 8 AND x BETWEEN 6 AND 16"

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from ..operators import images
 from ..spec import find
-from .catalog import H, V2, W, _px, add, frames, table  # noqa: F401
-from .catalog_more import PX, coloured
+from .catalog import H, V2, W, _px, add, frames
+from .catalog_more import _RGB, PX, coloured
 
 GRAY = f"{PX}, o AS (SELECT frame_id, min(t) AS cut FROM (SELECT *, max(round(s, 3)) OVER (PARTITION BY frame_id) AS top FROM (SELECT frame_id, t, CASE WHEN lo = 0 OR lo = {W * H} THEN 0 ELSE lo::DOUBLE * ({W * H} - lo) * pow(ml / lo::DOUBLE - (m - ml) / ({W * H} - lo)::DOUBLE, 2) END AS s FROM (SELECT frame_id, t, sum(CASE WHEN v <= t THEN 1 ELSE 0 END) AS lo, sum(CASE WHEN v <= t THEN v ELSE 0 END) AS ml, sum(v) AS m FROM px, (SELECT unnest(range(256)) AS t) q GROUP BY 1, 2))) WHERE round(s, 3) = top GROUP BY 1)"
 BRIGHT = f"{GRAY}, f AS (SELECT px.frame_id, y, x FROM px JOIN o ON o.frame_id = px.frame_id WHERE v > cut)"
@@ -112,8 +112,6 @@ def _products() -> None:
     score = find("WaferPatternInspection")
     add("match_WaferPatternInspection", lambda s, d: score.plan(frames(s, d), frames(s, d, V2), **score.bind({"min_contrast": 150.0})).select("frame_id", "match_score", "defect_count", "is_match"), f"WITH RECURSIVE {PX}, {_px('pz', V2)}, j AS (SELECT px.frame_id, px.y, px.x, px.v, pz.v AS w FROM px JOIN pz ON pz.frame_id = px.frame_id AND pz.y = px.y AND pz.x = px.x), f AS (SELECT frame_id, y, x FROM j WHERE abs(v - w) > 150), {_pieces()}, r AS (SELECT frame_id, corr(v, w) AS match_score FROM j GROUP BY 1) SELECT r.frame_id, match_score, count(b.seed) AS defect_count, match_score >= 0.85 AS is_match FROM r LEFT JOIN b USING (frame_id) GROUP BY ALL", "match_score")
     match = find("color_match")
-    from .catalog_more import _RGB
-
     add("inspect_color_match", lambda s, d: match.plan(coloured(s, d), **match.bind({"reference_color": "120,60,200", "tolerance": 90.0, "min_area": 3.0})), f"WITH RECURSIVE {_RGB}, f AS (SELECT frame_id, y, x FROM rgb WHERE sqrt(pow(r - 120, 2) + pow(g - 60, 2) + pow(b - 200, 2)) <= 90), {_pieces()} SELECT {BLOB} FROM b WHERE area >= 3", _PLACES)
 
 
