@@ -13,10 +13,13 @@ BLOB = "frame_id, blob, area, x, y, width, height, center_x, center_y"
 
 
 def _pieces(eight: bool = True) -> str:
-    """b: all pieces of f, with their numbers and shapes; c: which sample is of which piece."""
-    near = "abs(f.y - r.y) <= 1 AND abs(f.x - r.x) <= 1" if eight else "abs(f.y - r.y) + abs(f.x - r.x) = 1"
-    return f"""reach AS (SELECT frame_id, y, x, y * {W} + x AS seed FROM f UNION SELECT f.frame_id, f.y, f.x, r.seed FROM reach r JOIN f ON f.frame_id = r.frame_id AND {near}),
-c AS (SELECT frame_id, y, x, min(seed) AS seed FROM reach GROUP BY 1, 2, 3),
+    """b: all pieces of f, with their numbers and shapes; c: which sample is of which piece. Runs of a row are joined to
+    those of the rows beside it; the first sample of a piece is the start of a run.
+    """
+    e = int(eight)
+    return f"""runs AS (SELECT frame_id, y, min(x) AS x0, max(x) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY frame_id, y ORDER BY x) AS g FROM f) GROUP BY frame_id, y, g),
+reach AS (SELECT frame_id, y, x0, x1, y * {W} + x0 AS seed FROM runs UNION SELECT u.frame_id, u.y, u.x0, u.x1, r.seed FROM reach r JOIN runs u ON u.frame_id = r.frame_id AND abs(u.y - r.y) = 1 AND u.x0 <= r.x1 + {e} AND u.x1 >= r.x0 - {e}),
+c AS (SELECT frame_id, y, unnest(range(x0, x1 + 1)) AS x, seed FROM (SELECT frame_id, y, x0, x1, min(seed) AS seed FROM reach GROUP BY 1, 2, 3, 4)),
 b AS (SELECT *, least(1.0, 4 * area / (pi() * pow(greatest(width, height), 2))) AS roundness, area / (width * height)::DOUBLE AS fill, greatest(width, height) / least(width, height)::DOUBLE AS aspect, sqrt(width * width + height * height) AS len
       FROM (SELECT frame_id, seed, row_number() OVER (PARTITION BY frame_id ORDER BY seed) AS blob, count(*) AS area, min(x)::BIGINT AS x, min(y)::BIGINT AS y, (max(x) - min(x) + 1)::BIGINT AS width, (max(y) - min(y) + 1)::BIGINT AS height, avg(x) AS center_x, avg(y) AS center_y FROM c GROUP BY 1, 2))"""
 
