@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -54,6 +55,35 @@ def test_a_published_linear_code():
     assert C.ean_text(np.repeat(C.ean_bars("400638133393"), 3)) == "4006381333931"
 
 
+def _plain_penalty(on):
+    """The rules of the mask's choice, module by module."""
+    total = 0
+    for line in [*on.tolist(), *on.T.tolist()]:
+        text = "".join("01"[v] for v in line)
+        runs = [len(r) for r in text.replace("01", "0 1").replace("10", "1 0").split()]
+        total += sum(r - 2 for r in runs if r >= 5) + 40 * sum(text[k : k + 11] in ("10111010000", "00001011101") for k in range(len(text) - 10))
+    n = len(on)
+    total += 3 * sum(len({*on[y, x : x + 2].tolist(), *on[y + 1, x : x + 2].tolist()}) == 1 for y in range(n - 1) for x in range(n - 1))
+    return total + 10 * int(abs(on.mean() * 100 - 50) // 5)
+
+
+def test_many_symbols_together_are_those_of_one_each_and_soon_made():
+    rng = np.random.default_rng(5)
+    for level in "LH":
+        texts = [bytes(rng.integers(0, 256, k, dtype=np.uint8)) for k in (1, 17, 18, 40, 60, 90, 110, 119, 200, 5, 5)]
+        found = {i: on for places, many in C.qr_symbols(texts, level) for i, on in zip(places, many, strict=True)}
+        for i, text in enumerate(texts):
+            alone = C.qr_modules(text, level)
+            assert (alone is None) == (i not in found) and (alone is None or np.array_equal(found[i], alone))
+            if alone is not None:
+                assert C.qr_text(alone)[0] == text
+                rows, columns = C._lines(alone[None]), C._lines(alone.T[None])
+                assert C._penalties(rows, columns, len(alone)) == [_plain_penalty(alone)]
+    began = time.time()
+    assert sum(len(places) for places, _ in C.qr_symbols([f"Supplier#{k:09d}".encode() for k in range(3000)])) == 3000
+    assert time.time() - began < 15  # one by one they took 22 ms each
+
+
 def _frames(spark, images):
     rows = [(i, v.shape[1], v.shape[0], 1, "Mono8", 0, "t", v.tobytes()) for i, v in enumerate(images)]
     return spark.createDataFrame([(a, b, c, d, e, f, g, bytearray(h)) for a, b, c, d, e, f, g, h in rows], "frame_id long, width int, height int, channels int, format string, timestamp_us long, source_id string, data binary")
