@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -230,36 +232,144 @@ def mesh_simplify(vertices, triangles, cell_size):
     return out.filter(F.size("r") == 3).select("mesh_id", *[F.col("r")[k].alias(n) for k, n in enumerate("abc")]).distinct()
 
 
+def _whole(p: np.ndarray) -> list[tuple[int, int]]:
+    """The points as whole numbers, all times the same power of two."""
+    parts = [[v.as_integer_ratio() for v in row] for row in p.tolist()]
+    unit = max(d for row in parts for _, d in row)
+    return [tuple(n * (unit // d) for n, d in row) for row in parts]
+
+
+class _Mesh:
+    """The triangulation of different points sorted by place: halves are meshed and then joined along their seam.
+
+    Edge e leads from org[e] to org[e ^ 1]; ahead[e] and back[e] are the next edges to the left and to the right around its
+    origin. Signs come from doubles where their error allows it, else from whole numbers: they are right for all points.
+    """
+
+    def __init__(self, points: np.ndarray):
+        self.points, self.p = points, [tuple(v) for v in points.tolist()]
+        self.org, self.ahead, self.back = [], [], []
+        if len(points) > 1:
+            self._meshed(0, len(points))
+
+    @cached_property
+    def whole(self) -> list[tuple[int, int]]:
+        return _whole(self.points)
+
+    def side(self, a: int, b: int, c: int) -> float:
+        """Above 0 where a, b, c turn left, below where they turn right."""
+        (ax, ay), (bx, by), (cx, cy) = self.p[a], self.p[b], self.p[c]
+        left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
+        det = left - right
+        if abs(det) > 4e-16 * (abs(left) + abs(right)) > 1e-290:
+            return det
+        (ax, ay), (bx, by), (cx, cy) = self.whole[a], self.whole[b], self.whole[c]
+        return (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+
+    def within(self, a: int, b: int, c: int, d: int) -> bool:
+        """Whether d is inside the circle through a, b and c, which turn left."""
+        (ax, ay), (bx, by), (cx, cy), (dx, dy) = self.p[a], self.p[b], self.p[c], self.p[d]
+        for exact in (False, True):
+            ax, ay, bx, by, cx, cy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
+            bc, cb, ca, ac, ab, ba = bx * cy, cx * by, cx * ay, ax * cy, ax * by, bx * ay
+            a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+            det = a2 * (bc - cb) + b2 * (ca - ac) + c2 * (ab - ba)
+            if exact or abs(det) > 1.2e-15 * ((abs(bc) + abs(cb)) * a2 + (abs(ca) + abs(ac)) * b2 + (abs(ab) + abs(ba)) * c2) > 1e-290:
+                return det > 0
+            (ax, ay), (bx, by), (cx, cy), (dx, dy) = self.whole[a], self.whole[b], self.whole[c], self.whole[d]
+
+    def _edge(self, a: int, b: int) -> int:
+        e = len(self.org)
+        self.org += (a, b)
+        self.ahead += (e, e + 1)
+        self.back += (e, e + 1)
+        return e
+
+    def _splice(self, a: int, b: int) -> None:
+        ahead, back = self.ahead, self.back
+        x, y = ahead[a], ahead[b]
+        ahead[a], ahead[b], back[x], back[y] = y, x, b, a
+
+    def _joined(self, a: int, b: int) -> int:
+        """A new edge from where a ends to where b begins, left of both."""
+        e = self._edge(self.org[a ^ 1], self.org[b])
+        self._splice(e, self.back[a ^ 1])
+        self._splice(e ^ 1, b)
+        return e
+
+    def _cut(self, e: int) -> None:
+        self._splice(e, self.back[e])
+        self._splice(e ^ 1, self.back[e ^ 1])
+
+    def _meshed(self, low: int, high: int) -> tuple[int, int]:
+        """Mesh points low to high; the hull's edge to the left from the first point and that to the right from the last."""
+        org, ahead, back, side, within = self.org, self.ahead, self.back, self.side, self.within
+        if high - low == 2:
+            a = self._edge(low, low + 1)
+            return a, a ^ 1
+        if high - low == 3:
+            a, b = self._edge(low, low + 1), self._edge(low + 1, low + 2)
+            self._splice(a ^ 1, b)
+            turn = side(low, low + 1, low + 2)
+            c = self._joined(b, a) if turn else None
+            return (c ^ 1, c) if turn < 0 else (a, b ^ 1)
+        mid = (low + high) // 2
+        (first, left), (right, last) = self._meshed(low, mid), self._meshed(mid, high)
+        while True:  # down to the edge below both
+            if side(org[right], org[left], org[left ^ 1]) > 0:
+                left = back[left ^ 1]
+            elif side(org[left], org[right ^ 1], org[right]) > 0:
+                right = ahead[right ^ 1]
+            else:
+                break
+        base = self._joined(right ^ 1, left)
+        if org[left] == org[first]:
+            first = base ^ 1
+        if org[right] == org[last]:
+            last = base
+        while True:  # up along the seam
+            r, l = org[base], org[base ^ 1]  # noqa: E741
+            left, right = ahead[base ^ 1], back[base]
+            a, b = org[left ^ 1], org[right ^ 1]
+            left_up, right_up = side(a, l, r) > 0, side(b, l, r) > 0
+            if left_up:
+                while side(n := org[ahead[left] ^ 1], l, r) > 0 and within(l, r, a, n):
+                    left, a, old = ahead[left], n, left
+                    self._cut(old)
+            if right_up:
+                while side(n := org[back[right] ^ 1], l, r) > 0 and within(l, r, b, n):
+                    right, b, old = back[right], n, right
+                    self._cut(old)
+            if not left_up and not right_up:
+                return first, last
+            if not left_up or (right_up and within(a, l, r, b)):
+                base = self._joined(right, base ^ 1)
+            else:
+                base = self._joined(base ^ 1, left ^ 1)
+
+    def triangles(self) -> np.ndarray:
+        """Faces of three edges that turn left."""
+        org, back = np.array(self.org, int), np.array(self.back, int)
+        one = np.arange(len(org))
+        two = back[one ^ 1]
+        three = back[two ^ 1]
+        faces = (back[three ^ 1] == one) & (one < two) & (one < three)
+        corners = org[np.stack((one, two, three), 1)[faces]]
+        return corners[np.array([self.side(*t) > 0 for t in corners.tolist()], bool)]
+
+
 def delaunay(p: np.ndarray) -> np.ndarray:
-    """Triangles of the plane whose circumcircles hold no other point, by insertion into a triangle around all."""
-    span = max(np.ptp(p, axis=0).max(), 1e-9)
-    mid = p.mean(0)
-    pts = np.concatenate((p, mid + 50 * span * np.array([[-1.0, -1.0], [1.0, -1.0], [0.0, 1.0]])))
-    n = len(p)
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = pts[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-15:
-            return np.array([0.0, 0.0]), np.inf
-        a2, b2, c2 = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
-        o = np.array([(a2 * (by - cy) + b2 * (cy - ay) + c2 * (ay - by)) / d, (a2 * (cx - bx) + b2 * (ax - cx) + c2 * (bx - ax)) / d])
-        return o, float(((pts[t[0]] - o) ** 2).sum())
-
-    found = {(n, n + 1, n + 2): circle((n, n + 1, n + 2))}
-    for k in range(n):
-        bad = [t for t, (o, r) in found.items() if ((pts[k] - o) ** 2).sum() < r - 1e-12 * max(r, 1) or r == np.inf]
-        edges: dict[tuple, int] = {}
-        for t in bad:
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                e = tuple(sorted(e))
-                edges[e] = edges.get(e, 0) + 1
-            del found[t]
-        for e, times in edges.items():
-            if times == 1:
-                t = (*e, k)
-                found[t] = circle(t)
-    return np.array(sorted(tuple(sorted(t)) for t in found if max(t) < n), int).reshape(-1, 3)
+    """Triangles of the plane whose circumcircles hold no other point, out to the convex hull, in n log n steps: places in p,
+    ascending. Of equal points the first counts; points without a finite place are in no triangle.
+    """
+    at = np.flatnonzero(np.isfinite(p).all(1))
+    at = at[np.lexsort((at, p[at, 1], p[at, 0]))]
+    q = p[at]
+    first = np.ones(len(q), bool)
+    first[1:] = (q[1:] != q[:-1]).any(1)
+    at = at[first]
+    t = np.sort(at[_Mesh(q[first]).triangles()], axis=1)
+    return t[np.lexsort(t.T[::-1])]
 
 
 @table_op("delaunay_triangulation", "pointcloud", "cloud_id a b c")

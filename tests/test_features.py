@@ -1,5 +1,7 @@
 """Segmentation, features, contours, sub-pixel edges, stitching, stereo and reconstruction on known answers."""
 
+import time
+
 import numpy as np
 
 from lumenflow.functions import apply
@@ -148,6 +150,26 @@ def test_delaunay_is_empty_of_other_points():
     assert len(t) >= 2 * 40 - 2 - len(hull(p)) - 2
 
 
+def test_delaunay_reaches_the_hull_of_flat_even_equal_and_many_points():
+    x = np.linspace(-1, 1, 41)
+    assert len(delaunay(np.stack((x, x * x * 1e-4), 1))) == 39  # all of them on the hull
+    y, x = np.divmod(np.arange(56), 8)
+    even = np.stack((x, y), 1) * 0.1  # many points on each circle
+    t = delaunay(even)
+    (ax, ay), (bx, by), (cx, cy) = (even[t[:, k]].T for k in range(3))
+    assert len(t) == 2 * 7 * 6 and np.isclose(abs((bx - ax) * (cy - ay) - (by - ay) * (cx - ax)).sum() / 2, 0.7 * 0.6)
+    assert len(delaunay(np.stack((x, x * 0.5), 1))) == 0 and len(delaunay(np.full((5, 2), 2.0))) == 0
+    odd = np.array([[0, 0], [1, 0], [0, 0], [0, 1], [np.nan, 3]])
+    assert delaunay(odd).tolist() == [[0, 1, 3]]
+    many = np.random.default_rng(8).normal(size=(5000, 2))
+    began = time.time()
+    t = delaunay(many)
+    assert time.time() - began < 10
+    from lumenflow.operators.measures import hull
+
+    assert len(t) == 2 * 5000 - 2 - len(hull(many))
+
+
 def test_hand_eye(spark):
     rng = np.random.default_rng(6)
 
