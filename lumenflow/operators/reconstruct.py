@@ -65,19 +65,91 @@ def _rigid(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return r, y.mean(0) - r @ x.mean(0)
 
 
+class _Near:
+    """Nearest points of q, exact: halves of halves along their widest axis, down to few points each, and searched for many
+    points at a time. Of equally near ones the first counts, as does the first of equal ones.
+    """
+
+    LEAF, CHUNK = 12, 1 << 14
+
+    def __init__(self, q: np.ndarray):
+        order = np.lexsort((np.arange(len(q)), *q.T[::-1]))
+        new = np.ones(len(q), bool)
+        new[1:] = (q[order[1:]] != q[order[:-1]]).any(1)
+        at = np.sort(order[new])
+        self.q, n = q, len(at)
+        self.depth = max(0, int(np.ceil(np.log2(n / self.LEAF))))
+        self.boxes = []
+        for level in range(self.depth + 1):
+            starts = n * np.arange(1 << level) >> level
+            part = np.repeat(np.arange(1 << level), np.diff(np.append(starts, n)))
+            low, high = (f.reduceat(q[at], starts) for f in (np.minimum, np.maximum))
+            self.boxes.append((low, high))
+            if level < self.depth:
+                at = at[np.lexsort((q[at, (high - low).argmax(1)[part]], part))]
+        sizes = np.diff(np.append(starts, n))
+        # Leaves of one width, their points in order; what is beyond a leaf's end is infinitely far.
+        at = at[np.lexsort((at, part))]
+        self.leaves = np.full((len(starts), sizes.max()), -1)
+        self.leaves[part, np.arange(n) - starts[part]] = at
+        self.places = np.where(self.leaves[..., None] < 0, np.inf, q[self.leaves])
+
+    @staticmethod
+    def _square(d: np.ndarray) -> np.ndarray:
+        out = d[..., 0] * d[..., 0]
+        for k in range(1, d.shape[-1]):
+            out += d[..., k] * d[..., k]
+        return out
+
+    def _gap(self, p: np.ndarray, level: int, box: np.ndarray) -> np.ndarray:
+        """Squared distance to the box: no more than that to any point in it, rounding included."""
+        low, high = self.boxes[level]
+        return self._square(np.maximum(np.maximum(low[box] - p, p - high[box]), 0))
+
+    def __call__(self, p: np.ndarray, guess: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of p the place in q and the distance of its nearest; near guesses save time, whatever they are."""
+        at, gap = np.empty(len(p), int), np.empty(len(p))
+        for i in range(0, len(p), self.CHUNK):
+            part = slice(i, i + self.CHUNK)
+            at[part], gap[part] = self._searched(p[part], None if guess is None else guess[part])
+        return at, gap
+
+    def _searched(self, p: np.ndarray, guess: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        if guess is None:
+            box = np.zeros(len(p), int)
+            for level in range(1, self.depth + 1):
+                box = box * 2 + (self._gap(p, level, box * 2 + 1) < self._gap(p, level, box * 2))
+            most = self._square(p[:, None] - self.places[box]).min(1)
+        else:
+            most = self._square(p - self.q[guess])
+        who, box = np.arange(len(p)), np.zeros(len(p), int)
+        for level in range(1, self.depth + 1):
+            who, box = np.concatenate((who, who)), np.concatenate((box * 2, box * 2 + 1))
+            near = self._gap(p[who], level, box) <= most[who]
+            who, box = who[near], box[near]
+        best, at = np.full(len(p), np.inf), np.full(len(p), len(self.q))
+        found = []
+        for i in range(0, len(who), 4 * self.CHUNK):
+            w, b = who[i : i + 4 * self.CHUNK], box[i : i + 4 * self.CHUNK]
+            d = self._square(p[w, None] - self.places[b])
+            k = d.argmin(1)
+            found.append((w, d[np.arange(len(w)), k], self.leaves[b, k]))
+            np.minimum.at(best, w, found[-1][1])
+        for w, d, leaf in found:
+            first = d == best[w]
+            np.minimum.at(at, w[first], leaf[first])
+        return at, np.sqrt(best)
+
+
 def _nearest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at, gap = np.empty(len(p), int), np.empty(len(p))
-    for i in range(0, len(p), 512):  # bounded memory
-        d = ((p[i : i + 512, None] - q[None]) ** 2).sum(2)
-        at[i : i + 512], gap[i : i + 512] = d.argmin(1), np.sqrt(d.min(1))
-    return at, gap
+    return _Near(q)(p)
 
 
-def _refined(p, q, r, t, rounds: int, tolerance: float, most: float = np.inf) -> tuple[np.ndarray, np.ndarray, float]:
+def _refined(p, q, r, t, rounds: int, tolerance: float, most: float = np.inf, search: _Near | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Nearest points, at most `most` apart, laid on each other until the mean distance stands; with under three it stops."""
-    before = np.inf
+    before, at, search = np.inf, None, search or _Near(q)
     for _ in range(rounds):
-        at, gap = _nearest(p @ r.T + t, q)
+        at, gap = search(p @ r.T + t, at)
         near = gap <= most
         if near.sum() < 3:
             break
@@ -85,19 +157,24 @@ def _refined(p, q, r, t, rounds: int, tolerance: float, most: float = np.inf) ->
         if abs(before - gap.mean()) < tolerance:
             break
         before = gap.mean()
-    return r, t, float(_nearest(p @ r.T + t, q)[1].mean())
+    return r, t, float(search(p @ r.T + t, at)[1].mean())
 
 
 def _by_axes(p, q, rounds: int, tolerance: float):
-    """Principal axes laid on each other in the four ways that keep handedness, each refined; the best stays."""
+    """Principal axes laid on each other in the four ways that keep handedness, each refined; the best stays. A way that
+    leaves nothing but rounding cannot be bettered.
+    """
     (cp, ap), (cq, aq) = ((v.mean(0), np.linalg.svd(v - v.mean(0), full_matrices=False)[2]) for v in (p, q))
-    best = None
+    best, search = None, _Near(q)
+    rounding = 1e-14 * max(np.abs(q).max(), np.abs(p).max())
     for a in (1, -1):
         for b in (1, -1):
             m = aq.T @ np.diag([a, b, 1.0]) @ ap
             m = m if np.linalg.det(m) > 0 else aq.T @ np.diag([a, b, -1.0]) @ ap
-            found = _refined(p, q, m, cq - m @ cp, rounds, tolerance)
+            found = _refined(p, q, m, cq - m @ cp, rounds, tolerance, search=search)
             best = found if best is None or found[2] < best[2] else best
+            if best[2] <= rounding:
+                return best
     return best
 
 

@@ -5,7 +5,7 @@ import time
 import numpy as np
 
 from lumenflow.functions import apply
-from lumenflow.operators import features
+from lumenflow.operators import features, reconstruct
 from lumenflow.operators.clouds import rotation
 from lumenflow.operators.reconstruct import delaunay
 from tests.test_operators import frames
@@ -138,6 +138,25 @@ def test_registration_finds_the_motion(spark):
         assert np.allclose([m[f"r{i}{j}"] for i in (1, 2, 3) for j in (1, 2, 3)], turn.ravel(), atol=tol), name
 
 
+def test_nearest_points_are_those_of_all_pairs_and_large_clouds_are_registered_soon():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 13, 300):
+        for d in (2, 3, 5):
+            for q in (rng.normal(size=(n, d)), rng.integers(0, 3, (n, d)).astype(float), np.ones((n, d))):  # also ties and equal points
+                p = np.concatenate((rng.normal(size=(40, d)) * 2, q[:20]))
+                gaps = np.sqrt(((p[:, None] - q) ** 2).sum(2))
+                for guess in (None, rng.integers(0, n, len(p))):
+                    at, gap = reconstruct._Near(q)(p, guess)
+                    assert (at == gaps.argmin(1)).all() and (gap == gaps.min(1)).all()
+    p = rng.normal(size=(3000, 3)) * (3, 2, 1)
+    turn = np.array(rotation(50, -30, 70))
+    began = time.time()
+    for noise in (0.0, 0.01):
+        r, t, error = reconstruct._by_axes(p, p @ turn.T + (2, -1, 0.5) + rng.normal(size=p.shape) * noise, 50, 1e-9)
+        assert np.allclose(r, turn, atol=1e-9 + noise / 5) and np.allclose(t, (2, -1, 0.5), atol=1e-9 + noise / 5) and error <= 2 * noise + 1e-12
+    assert time.time() - began < 20
+
+
 def test_delaunay_is_empty_of_other_points():
     p = np.random.default_rng(4).uniform(0, 1, (40, 2))
     t = delaunay(p)
