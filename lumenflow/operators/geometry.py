@@ -85,6 +85,26 @@ _op("MeasureResultsToRegions", "x=0 y=0 region_size=5", {"region_x": "x-region_s
 _op("AutoCalibration", "drift_x=0 drift_y=0 drift_threshold=0.5", {"offset_x": "CASE WHEN valid THEN -drift_x ELSE 0.0 END", "offset_y": "CASE WHEN valid THEN -drift_y ELSE 0.0 END", "valid": "valid"}, {"valid": "sqrt(drift_x*drift_x+drift_y*drift_y) > drift_threshold"})
 
 
+def _signed(e: str) -> str:
+    """The expression for Spark, whose atan2 takes -0.0 for 0.0: of zeros over -0.0, or of -0.0 over a number below 0, the
+    angle is a half turn, in the sense of the first one's sign, as C and DuckDB have it.
+    """
+    start = e.find("atan2(")
+    if start < 0:
+        return e
+    first, depth, cut = start + len("atan2("), 0, 0
+    for end in range(first, len(e)):
+        if not depth and e[end] == ",":
+            cut = end
+        elif not depth and e[end] == ")":
+            break
+        depth += (e[end] == "(") - (e[end] == ")")
+    y, x = _signed(e[first:cut]), _signed(e[cut + 1 : end])
+    below = lambda v: f"pow({v},-1) < 0"
+    turned = f"CASE WHEN ({y}) = 0 AND ({x}) <= 0 AND {below(x)} THEN CASE WHEN {below(y)} THEN -pi() ELSE pi() END ELSE atan2({y},{x}) END"
+    return f"{e[:start]}({turned}){_signed(e[end + 1 :])}"
+
+
 def scalar(df: DataFrame, type_id: str, params: dict) -> DataFrame:
     """df with the operator's outputs. A parameter is the column of its name where df has one, else its value.
 
@@ -94,8 +114,8 @@ def scalar(df: DataFrame, type_id: str, params: dict) -> DataFrame:
     keep = [c for c in df.columns if c not in outs]
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), *[(F.col(f"`{k}`").cast("double") if k in df.columns else F.lit(float(params.get(k, v)))).alias(k) for k, v in defaults.items()])
     for k, e in steps.items():
-        row = row.withColumn(k, F.expr(e))
-    out = row.select("__row.*", *[F.expr(e).alias(k) for k, e in outs.items()])
+        row = row.withColumn(k, F.expr(_signed(e)))
+    out = row.select("__row.*", *[F.expr(_signed(e)).alias(k) for k, e in outs.items()])
     # Literals are decimals in SQL; a number is a double here.
     return out.withColumns({k: F.col(k).cast("double") for k, kind in out.dtypes if k in outs and kind not in ("double", "boolean")})
 

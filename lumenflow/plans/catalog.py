@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,13 +22,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Real numbers to `digits` places; no negative zero."""
-    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, reals: str = "") -> DataFrame:
+    """Real numbers to `digits` places; no negative zero. Those of `reals`, which the SQL rounds too, as DuckDB does it: the
+    number is multiplied first, and at halves the product's own error decides.
+    """
+    unit, by_sql = 10.0**digits, set(reals.split())
+
+    def one(c: str):
+        # Written so that the number stands in few places: longer expressions are not compiled.
+        return F.when(F.abs(c) <= sys.float_info.max / unit, F.round(F.col(c) * unit, 0) / unit).otherwise(F.col(c)) if c in by_sql else F.round(c, digits)
+
+    return df.select(*[(one(c) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
 
 
 def add(name: str, query: Query, sql: str | None = None, reals: str = "", digits: int = 6) -> None:
-    _queries[name] = lambda s, d: rounded(query(s, d), digits)
+    _queries[name] = lambda s, d: rounded(query(s, d), digits, reals if sql else "")
     if sql:
         _oracles[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) + 0.0 AS {c}' for c in reals.split())}) FROM ({sql})" if reals else sql
 

@@ -139,3 +139,29 @@ def test_parameters():
         op.bind({"nothing": 1})
     with pytest.raises(FlowError):
         spec.find("ImageSource")
+
+
+def test_scalars_are_rounded_and_turned_as_the_sql_does_it(spark):
+    import duckdb
+
+    from lumenflow.operators import geometry
+    from lumenflow.plans.catalog import rounded
+
+    # Halves of the last place whose product with a million lies on either side, and numbers too large for it.
+    values = [n / d for n in range(-4001, 4001, 37) for d in (640, 320, 1280, 11)] + [132.6609375, -0.0634665, 8.0515625, 0.4999995, 1e200, 1e305, -0.0]
+    spread = spark.createDataFrame([(v,) for v in values], "x double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    for digits in (6, 3):
+        want = sorted(v for (v,) in con.execute(f"SELECT round(x, {digits}) + 0.0 FROM t").fetchall())
+        assert sorted(r.x for r in rounded(spread, digits, "x").collect()) == want
+    # A map with a = -0.0 and d = 0: the angle of (-0.0, 0) is a half turn; and a nested call keeps its signs.
+    points = "0.0::DOUBLE AS src_x1, 0.0::DOUBLE AS src_y1, 5.0::DOUBLE AS tgt_x1, 1.0::DOUBLE AS tgt_y1, 0.0::DOUBLE AS src_x2, 2.0::DOUBLE AS src_y2, 3.0::DOUBLE AS tgt_x2, 4.0::DOUBLE AS tgt_y2, 3.0::DOUBLE AS src_x3, 0.0::DOUBLE AS src_y3, 5.0::DOUBLE AS tgt_x3, 1.0::DOUBLE AS tgt_y3, 1 AS id"
+    want = con.execute(geometry.sql("AffineTransformCalc", f"SELECT {points}", "id")).fetchall()
+    got = apply("AffineTransformCalc", spark.sql("SELECT " + points.replace("::DOUBLE", "D"))).select("id", *spec.find("AffineTransformCalc").outputs).collect()
+    assert want[0][9] == 180.0 and [tuple(r) for r in got] == want
+    pairs = [(y, x) for y in (0.0, -0.0, 1.0, -2.0) for x in (0.0, -0.0, 1.0, -3.0)]
+    e = geometry._signed("1.0+atan2(abs(y)*CASE WHEN pow(y,-1) < 0 THEN -1.0 ELSE 1.0 END,x)*2.0+atan2(y,greatest(x,x))")
+    rows = spark.createDataFrame(pairs, "y double, x double").selectExpr(f"{e} AS v").collect()
+    assert np.allclose([r.v for r in rows], [1 + 3 * np.arctan2(y, x) for y, x in pairs])
